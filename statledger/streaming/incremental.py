@@ -15,7 +15,7 @@ from statledger.operators.dedupe import ORDINAL
 from statledger.plans import clean, load
 from statledger.plans.warehouse import Warehouse
 from statledger.session import shared_folder, written
-from statledger.sources.feed import stream_feed
+from statledger.sources.feed import stream_feed, with_ordinal
 from statledger.sources.layouts import FEED_PLAYER_ROWS, FEED_TEAM_ROWS
 
 PENDING_TEAM_ROWS = "pending_team_rows"
@@ -35,7 +35,8 @@ def sync_stream(
 
     def merge(step):
         def on_batch(batch: DataFrame, _batch_id: int) -> None:
-            step(Warehouse(batch.sparkSession, warehouse.database), batch, retention_days)
+            target = Warehouse(batch.sparkSession, warehouse.database)
+            step(target, with_ordinal(batch), retention_days)
 
         return on_batch
 
