@@ -17,17 +17,12 @@ def parse_height(text: Column) -> Column:
     )
 
 
-def _exact_minutes(minutes: Column, seconds: Column) -> Column:
-    return minutes.try_cast(_EXACT) + seconds.try_cast(_EXACT) / F.lit(60)
-
-
-def _plain_minutes(text: Column) -> Column:
-    """Minutes of "MM:SS" or of a decimal number, unrounded."""
-    parts = F.split(text, ":", 2)
-    return F.when(
-        F.contains(text, F.lit(":")),
-        _exact_minutes(F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))),
-    ).otherwise(text.try_cast(_EXACT))
+def _total_minutes(text: Column) -> Column:
+    """Minutes of "MM:SS" (all after the first colon are seconds) or of a number, unrounded."""
+    colon = F.instr(text, ":")
+    minutes = F.substring_index(text, ":", 1).try_cast(_EXACT)
+    seconds = F.when(colon == 0, F.lit("0")).otherwise(F.substr(text, colon + 1)).try_cast(_EXACT)
+    return minutes + seconds / F.lit(60)
 
 
 def _one_place(minutes: Column) -> Column:
@@ -37,25 +32,28 @@ def _one_place(minutes: Column) -> Column:
 
 def parse_clock_minutes(text: Column) -> Column:
     """"34:12" or "34.5" -> minutes with one decimal; negative values stay."""
-    return _one_place(_plain_minutes(F.trim(text)))
+    return _one_place(_total_minutes(F.trim(text)))
 
 
 def parse_feed_minutes(text: Column) -> Column:
     """As parse_clock_minutes, also "PT34M12.00S"; negative values become NULL."""
-    clean = F.trim(text)
-    minutes = F.coalesce(F.nullif(F.regexp_extract(clean, _ISO_DURATION, 1), F.lit("")), F.lit("0"))
-    seconds = F.coalesce(F.nullif(F.regexp_extract(clean, _ISO_DURATION, 2), F.lit("")), F.lit("0"))
-    total = F.when(clean.rlike(_ISO_DURATION), _exact_minutes(minutes, seconds)).otherwise(
-        _plain_minutes(clean)
-    )
-    rounded = _one_place(total)
-    return F.when(rounded >= 0, rounded)
+    # A duration turns into the clock form; the zeros stand in for absent parts.
+    clock = F.regexp_replace(F.trim(text), _ISO_DURATION, "0$1:0$2")
+    return _not_negative(_one_place(_total_minutes(clock)))
+
+
+def _not_negative(rounded: Column) -> Column:
+    """NULL for a negative number of one decimal: all of those meet at -0.1.
+
+    Names the number once, so that a long expression is not computed again.
+    """
+    below = F.lit("-0.1").cast("decimal(12,1)")
+    return F.nullif(F.greatest(rounded, below), below)
 
 
 def round_minutes(number: Column) -> Column:
     """Floating-point minutes with one decimal, HALF_UP; negative becomes NULL."""
-    rounded = _one_place(number.try_cast(_EXACT))
-    return F.when(rounded >= 0, rounded)
+    return _not_negative(_one_place(number.try_cast(_EXACT)))
 
 
 def parse_date(value: Column, strict: bool = True) -> Column:

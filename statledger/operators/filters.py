@@ -21,13 +21,12 @@ def distinct_opponents(df: DataFrame, home: str, away: str, valid: DataFrame, ke
 
 
 def new_keys(staged: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Distinct staged keys that `existing` lacks, sorted."""
-    return (
-        staged.select(key)
-        .join(existing.select(key), key, "left_anti")
-        .distinct()
-        .orderBy(key)
-    )
+    """Distinct staged keys that `existing` lacks, sorted.
+
+    Distinct first: repeats of a key go before the join, which then uses the same
+    partitioning.
+    """
+    return staged.select(key).distinct().join(existing.select(key), key, "left_anti").orderBy(key)
 
 
 def fill_from_lookup(df: DataFrame, target: str, by: dict, lookup: DataFrame, value: str) -> DataFrame:

@@ -7,31 +7,40 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from statledger import functions as fn
 from statledger.operators.audit import season_spans
-from statledger.operators.dedupe import ORDINAL, keep_last
+from statledger.operators.dedupe import keep_last
 from statledger.operators.filters import distinct_opponents, fill_from_lookup
 from statledger.operators.reshape import add_nulls, pair_sides, sides_to_rows
 from statledger.sources.contracts import CLEAN, conform
 
 # Stat columns of a player row, by source column.
-_BATCH_STATS = {
+_STATS = {
     "points": "points", "reboundsTotal": "rebounds", "assists": "assists",
     "steals": "steals", "blocks": "blocks", "turnovers": "turnovers",
     "fieldGoalsMade": "fg_made", "fieldGoalsAttempted": "fg_attempted",
     "threePointersMade": "fg3_made", "threePointersAttempted": "fg3_attempted",
     "freeThrowsMade": "ft_made", "freeThrowsAttempted": "ft_attempted",
 }
-_FACT_KEY = ["nba_game_id", "nba_player_id"]
 _TEAM_KEY = ["nba_game_id", "nba_team_id"]
-_EVENT_KEY = ["nba_game_id", "sequence"]
+
+
+def last_rows(raw: DataFrame, keys: dict, prefer: str = None) -> DataFrame:
+    """The last raw row of each key, given as {key column: Column or source name}.
+
+    De-duplicating first leaves fewer rows for the value expressions, which then
+    run on all reducers.
+    """
+    named = raw.withColumns({
+        name: F.col(source) if isinstance(source, str) else source for name, source in keys.items()
+    })
+    return keep_last(named, list(keys), prefer=prefer)
 
 
 def project(df: DataFrame, columns: dict) -> DataFrame:
-    """Only the given columns, as {target: source name or Column}, plus the ordinal."""
-    out = [
+    """Only the given columns, as {target: source name or Column}."""
+    return df.select(*[
         (F.col(source) if isinstance(source, str) else source).alias(target)
         for target, source in columns.items()
-    ]
-    return df.select(*out, ORDINAL)
+    ])
 
 
 def _int(column: str) -> Column:
@@ -48,46 +57,42 @@ def _finish(df: DataFrame, table: str) -> DataFrame:
 
 
 def clean_teams(raw: DataFrame) -> DataFrame:
-    rows = project(raw, {
-        "nba_team_id": "id", "abbreviation": "abbreviation", "city": "city", "name": "nickname",
+    rows = project(last_rows(raw, {"nba_team_id": "id"}), {
+        "nba_team_id": "nba_team_id", "abbreviation": "abbreviation", "city": "city", "name": "nickname",
     })
-    rows = add_nulls(rows, {"conference": "string", "division": "string"})
-    return _finish(keep_last(rows, ["nba_team_id"]), "teams")
+    return _finish(add_nulls(rows, {"conference": "string", "division": "string"}), "teams")
 
 
 def clean_players(raw: DataFrame, bio: DataFrame) -> DataFrame:
     """Every listed player, with the bio where there is one."""
-    players = keep_last(project(raw, {"nba_player_id": "id", "full_name": "full_name"}), ["nba_player_id"])
-    details = keep_last(
-        project(bio, {
-            "nba_player_id": "person_id",
-            "birthdate": "birthdate",
-            "height_in": fn.parse_height(F.col("height")),
-            "weight_lb": fn.nullable_int(fn.number_from_text(F.col("weight"))),
-            "draft_year": fn.nullable_int(fn.number_from_text(F.col("draft_year"))),
-        }),
-        ["nba_player_id"],
-    ).withColumn("birthdate", fn.parse_date(F.col("birthdate")))
+    players = last_rows(raw, {"nba_player_id": "id"}).select("nba_player_id", "full_name")
+    details = project(last_rows(bio, {"nba_player_id": "person_id"}), {
+        "nba_player_id": "nba_player_id",
+        "birthdate": fn.parse_date(F.col("birthdate")),
+        "height_in": fn.parse_height(F.col("height")),
+        "weight_lb": fn.nullable_int(fn.number_from_text(F.col("weight"))),
+        "draft_year": fn.nullable_int(fn.number_from_text(F.col("draft_year"))),
+    })
     return _finish(players.join(details, "nba_player_id", "left"), "players")
 
 
 def clean_players_backfill(raw: DataFrame) -> DataFrame:
-    rows = project(raw, {
-        "nba_player_id": "personId",
+    rows = project(last_rows(raw, {"nba_player_id": "personId"}), {
+        "nba_player_id": "nba_player_id",
         "full_name": fn.full_name(F.col("firstName"), F.col("lastName")),
         "birthdate": fn.parse_date(F.col("birthDate")),
         "height_in": _int("heightInches"),
         "weight_lb": _int("bodyWeightLbs"),
         "draft_year": _int("draftYear"),
     })
-    return _finish(keep_last(rows, ["nba_player_id"]), "players")
+    return _finish(rows, "players")
 
 
 def clean_games(raw: DataFrame, teams: DataFrame, team_key: str = "nba_team_id") -> DataFrame:
     """Games between two franchises, season taken from the season code."""
     real = distinct_opponents(raw, "team_id_home", "team_id_away", teams, team_key)
-    rows = project(real, {
-        "nba_game_id": "game_id",
+    rows = project(last_rows(real, {"nba_game_id": "game_id"}), {
+        "nba_game_id": "nba_game_id",
         "game_date": fn.parse_date(F.col("game_date")),
         "game_type": "season_type",
         "home_nba_team_id": "team_id_home",
@@ -96,24 +101,23 @@ def clean_games(raw: DataFrame, teams: DataFrame, team_key: str = "nba_team_id")
         "away_score": _int("pts_away"),
         "season_label": fn.season_label_from_code(F.col("season_id")),
     })
-    return _finish(keep_last(rows, ["nba_game_id"]), "games")
+    return _finish(rows, "games")
 
 
 def clean_games_backfill(raw: DataFrame, teams: DataFrame, team_key: str = "nba_team_id") -> DataFrame:
     """Games between two franchises, season derived from the game date."""
     real = distinct_opponents(raw, "hometeamId", "awayteamId", teams, team_key)
-    day = fn.parse_date(F.col("gameDate"))
-    rows = project(real, {
-        "nba_game_id": fn.pad_id(F.col("gameId")),
-        "game_date": day,
+    rows = project(last_rows(real, {"nba_game_id": fn.pad_id(F.col("gameId"))}), {
+        "nba_game_id": "nba_game_id",
+        "game_date": fn.parse_date(F.col("gameDate")),
         "game_type": "gameType",
         "home_nba_team_id": "hometeamId",
         "away_nba_team_id": "awayteamId",
         "home_score": _int("homeScore"),
         "away_score": _int("awayScore"),
-        "season_label": fn.season_label_from_date(day),
     })
-    return _finish(keep_last(rows, ["nba_game_id"]), "games")
+    labelled = rows.withColumn("season_label", fn.season_label_from_date(F.col("game_date")))
+    return _finish(labelled, "games")
 
 
 def clean_seasons(games: DataFrame) -> DataFrame:
@@ -142,22 +146,16 @@ def _rounded_line(rows: DataFrame) -> DataFrame:
 
 
 def clean_team_game_stats_backfill(raw: DataFrame) -> DataFrame:
-    rows = project(raw, {
-        "nba_game_id": fn.pad_id(F.col("gameId")),
-        "nba_team_id": "teamId",
-        "rebounds": "reboundsTotal",
-        "assists": "assists",
-        "turnovers": "turnovers",
-        "points": "teamScore",
-    })
-    return _finish(_rounded_line(keep_last(rows, _TEAM_KEY)), "team_game_stats")
+    last = last_rows(raw, {"nba_game_id": fn.pad_id(F.col("gameId")), "nba_team_id": "teamId"})
+    rows = last.withColumnsRenamed({"reboundsTotal": "rebounds", "teamScore": "points"})
+    return _finish(_rounded_line(rows), "team_game_stats")
 
 
 def team_name_lookup(histories: DataFrame) -> DataFrame:
     """(city, name) -> team id. The last row of a name decides, even if it has no id,
     in which case the name is not known."""
-    names = project(histories, {"city": "teamCity", "name": "teamName", "team_id": "teamId"})
-    return keep_last(names, ["city", "name"]).where(F.col("team_id").isNotNull())
+    names = last_rows(histories, {"city": "teamCity", "name": "teamName"})
+    return names.where(F.col("teamId").isNotNull()).select("city", "name", F.col("teamId").alias("team_id"))
 
 
 def clean_player_game_stats(raw: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -167,26 +165,34 @@ def clean_player_game_stats(raw: DataFrame, lookup: DataFrame) -> DataFrame:
     row with negative minutes stays and loses only the minutes.
     """
     played = raw.where(~fn.is_missing(F.col("numMinutes")))
-    rows = project(played, {
-        "nba_game_id": fn.pad_id(F.col("gameId")),
-        "nba_player_id": _int("personId"),
-        "nba_team_id": _int("playerteamId"),
+    last = last_rows(played, {"nba_game_id": fn.pad_id(F.col("gameId")), "nba_player_id": _int("personId")})
+    filled = fill_from_lookup(
+        last.withColumn("nba_team_id", _int("playerteamId")),
+        "nba_team_id",
+        {"playerteamCity": "city", "playerteamName": "name"},
+        lookup,
+        "team_id",
+    )
+    rows = project(filled, {
+        "nba_game_id": "nba_game_id",
+        "nba_player_id": "nba_player_id",
+        "nba_team_id": "nba_team_id",
         "minutes": fn.round_minutes(F.col("numMinutes")),
-        **_ints(_BATCH_STATS),
-        "_city": "playerteamCity",
-        "_name": "playerteamName",
+        **_ints(_STATS),
     })
-    last = keep_last(rows, _FACT_KEY)
-    filled = fill_from_lookup(last, "nba_team_id", {"_city": "city", "_name": "name"}, lookup, "team_id")
-    return _finish(filled, "player_game_stats")
+    return _finish(rows, "player_game_stats")
 
 
 def clean_old_events(raw: DataFrame) -> DataFrame:
     """Events with numeric codes; they have no sub-type and no shot detail."""
-    score = F.col("score")
-    rows = project(raw, {
-        "nba_game_id": fn.pad_id(F.col("game_id")),
-        "sequence": "eventnum",
+
+    def score(part: int) -> Column:
+        return fn.nullable_int(fn.number_from_text(fn.score_part(F.col("score"), part)))
+
+    last = last_rows(raw, {"nba_game_id": fn.pad_id(F.col("game_id")), "sequence": "eventnum"})
+    rows = project(last, {
+        "nba_game_id": "nba_game_id",
+        "sequence": "sequence",
         "period": "period",
         "clock": "pctimestring",
         "event_type": fn.code_label(F.col("eventmsgtype")),
@@ -197,11 +203,11 @@ def clean_old_events(raw: DataFrame) -> DataFrame:
         "nba_player2_id": fn.zero_as_null(F.col("player2_id")),
         "nba_player3_id": fn.zero_as_null(F.col("player3_id")),
         "nba_team_id": fn.zero_as_null(F.col("player1_team_id")),
-        "score_away": fn.nullable_int(fn.number_from_text(fn.score_part(score, 1))),
-        "score_home": fn.nullable_int(fn.number_from_text(fn.score_part(score, 2))),
+        "score_away": score(1),
+        "score_home": score(2),
     })
-    # conform() adds the absent columns as NULL.
-    return _finish(keep_last(rows, _EVENT_KEY), "play_by_play")
+    # The contract adds the absent columns as NULL.
+    return _finish(rows, "play_by_play")
 
 
 def clean_new_events(raw: DataFrame) -> DataFrame:
@@ -210,9 +216,11 @@ def clean_new_events(raw: DataFrame) -> DataFrame:
     def person(column: str) -> Column:
         return fn.zero_as_null(fn.number_from_text(F.col(column)))
 
-    rows = project(raw, {
-        "nba_game_id": fn.pad_id(F.col("gameId")),
-        "sequence": fn.nullable_int(fn.first_present(F.col("orderNumber"), F.col("actionNumber"))),
+    number = fn.nullable_int(fn.first_present(F.col("orderNumber"), F.col("actionNumber")))
+    last = last_rows(raw, {"nba_game_id": fn.pad_id(F.col("gameId")), "sequence": number})
+    rows = project(last, {
+        "nba_game_id": "nba_game_id",
+        "sequence": "sequence",
         "period": "period",
         "clock": "clock",
         "event_type": fn.event_type_or_unknown(F.col("actionType")),
@@ -229,54 +237,52 @@ def clean_new_events(raw: DataFrame) -> DataFrame:
         "shot_distance": _int("shotDistance"),
         "shot_made": fn.shot_made(F.col("shotResult")),
     })
-    return _finish(keep_last(rows, _EVENT_KEY), "play_by_play")
+    return _finish(rows, "play_by_play")
 
 
 def clean_feed_games(raw: DataFrame) -> DataFrame:
     """One game per pair of team rows; "@" in the matchup marks the away row."""
-    code = F.col("SEASON_ID")
-    rows = project(raw, {
-        "nba_game_id": fn.pad_id(F.col("GAME_ID")),
-        "game_date": fn.parse_date(F.col("GAME_DATE")),
-        "game_type": fn.game_type_from_code(code),
-        "season_label": fn.season_label_from_code(code),
-        "team_id": "TEAM_ID",
-        "score": _int("PTS"),
-        "is_away": F.coalesce(F.contains(F.col("MATCHUP"), F.lit("@")), F.lit(False)),
-    })
-    games = pair_sides(
+    rows = raw.withColumn("nba_game_id", fn.pad_id(F.col("GAME_ID")))
+    is_away = F.coalesce(F.contains(F.col("MATCHUP"), F.lit("@")), F.lit(False))
+    pairs = pair_sides(
         rows,
         "nba_game_id",
-        F.col("is_away"),
-        {
-            "game_date": "game_date", "game_type": "game_type", "season_label": "season_label",
-            "home_nba_team_id": "team_id", "home_score": "score",
-        },
-        {"away_nba_team_id": "team_id", "away_score": "score"},
+        is_away,
+        {"day": "GAME_DATE", "code": "SEASON_ID", "home_team": "TEAM_ID", "home_points": "PTS"},
+        {"away_team": "TEAM_ID", "away_points": "PTS"},
     )
+    games = project(pairs, {
+        "nba_game_id": "nba_game_id",
+        "game_date": fn.parse_date(F.col("day")),
+        "game_type": fn.game_type_from_code(F.col("code")),
+        "home_nba_team_id": "home_team",
+        "away_nba_team_id": "away_team",
+        "home_score": _int("home_points"),
+        "away_score": _int("away_points"),
+        "season_label": fn.season_label_from_code(F.col("code")),
+    })
     return _finish(games, "games")
 
 
 def clean_feed_team_stats(raw: DataFrame) -> DataFrame:
-    rows = project(raw, {
-        "nba_game_id": fn.pad_id(F.col("GAME_ID")),
-        "nba_team_id": "TEAM_ID",
-        "rebounds": "REB",
-        "assists": "AST",
-        "turnovers": "TOV",
-        "points": "PTS",
-    })
-    return _finish(_rounded_line(keep_last(rows, _TEAM_KEY)), "team_game_stats")
+    last = last_rows(raw, {"nba_game_id": fn.pad_id(F.col("GAME_ID")), "nba_team_id": "TEAM_ID"})
+    rows = last.withColumnsRenamed({"REB": "rebounds", "AST": "assists", "TOV": "turnovers", "PTS": "points"})
+    return _finish(_rounded_line(rows), "team_game_stats")
 
 
 def clean_feed_player_stats(raw: DataFrame) -> DataFrame:
     """Feed lines of players who played: rows whose minutes are blank, unreadable or
     negative go once the minutes are parsed."""
-    rows = project(raw, {
-        "nba_game_id": fn.pad_id(F.col("gameId")),
-        "nba_player_id": _int("personId"),
+    shown = raw.where(F.trim(F.col("minutes")) != "")
+    # Parsed once, before the shuffle: a filter on the result would be computed twice.
+    parsed = shown.withColumn("minutes", fn.parse_feed_minutes(F.col("minutes")))
+    keys = {"nba_game_id": fn.pad_id(F.col("gameId")), "nba_player_id": _int("personId")}
+    played = last_rows(parsed, keys, prefer="minutes").where(F.col("minutes").isNotNull())
+    rows = project(played, {
+        "nba_game_id": "nba_game_id",
+        "nba_player_id": "nba_player_id",
         "nba_team_id": _int("teamId"),
-        "minutes": fn.parse_feed_minutes(F.col("minutes")),
-        **_ints(_BATCH_STATS),
-    }).where(F.col("minutes").isNotNull())
-    return _finish(keep_last(rows, _FACT_KEY), "player_game_stats")
+        "minutes": "minutes",
+        **_ints(_STATS),
+    })
+    return _finish(rows, "player_game_stats")

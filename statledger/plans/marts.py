@@ -10,8 +10,13 @@ _SHOTS = ["fg", "fg3", "ft"]
 
 
 def exact_average(column: str) -> Column:
-    """Average with one decimal, from decimals so that ties round as in exact arithmetic."""
-    return F.round(F.avg(F.col(column).cast("decimal(10,1)")), 1)
+    """Average with one decimal; ties round as in exact arithmetic.
+
+    Sums whole or short decimal values (held as longs) and divides once per group.
+    """
+    whole = "decimal(18,0)"
+    count = F.nullif(F.count(column).cast(whole), F.lit(0).cast(whole))
+    return F.round(F.sum(column).cast("decimal(18,1)") / count, 1)
 
 
 def player_season_stats(

@@ -31,15 +31,17 @@ def duration_text():
     """Seven spellings of a duration, chosen by line number."""
     minutes = F.col("l_quantity").cast("int").cast("string")
     seconds = F.lpad(F.month(day("l_shipdate")).cast("string"), 2, "0")
-    return F.create_map(
-        F.lit(1), F.concat(F.lit("PT"), minutes, F.lit("M"), seconds, F.lit(".00S")),
-        F.lit(2), F.concat(minutes, F.lit(":"), seconds),
-        F.lit(3), F.concat(F.lit(" "), (F.col("l_extendedprice").cast("decimal(12,2)") / 100).cast("decimal(12,4)").cast("string")),
-        F.lit(4), F.lit(" "),
-        F.lit(5), F.concat(F.lit("-"), minutes, F.lit(":"), seconds),
-        F.lit(6), F.lit("DNP"),
-        F.lit(7), F.lit("PT"),
-    )[F.col("l_linenumber")]
+    decimal = (F.col("l_extendedprice").cast("decimal(12,2)") / 100).cast("decimal(12,4)")
+    number = F.col("l_linenumber")
+    return (
+        F.when(number == 1, F.concat(F.lit("PT"), minutes, F.lit("M"), seconds, F.lit(".00S")))
+        .when(number == 2, F.concat(minutes, F.lit(":"), seconds))
+        .when(number == 3, F.concat(F.lit(" "), decimal.cast("string")))
+        .when(number == 4, F.lit(" "))
+        .when(number == 5, F.concat(F.lit("-"), minutes, F.lit(":"), seconds))
+        .when(number == 6, F.lit("DNP"))
+        .when(number == 7, F.lit("PT"))
+    )
 
 
 _MINUTE_TENTHS = """CASE l_linenumber

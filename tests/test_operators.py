@@ -36,6 +36,21 @@ def test_keep_last_null_keys_and_null_values(spark):
     assert tuples(keep_last(rows, ["k"])) == [(None, None), (3, "c")]
 
 
+def test_keep_last_prefers_usable_rows(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 0), (1, None, 1), (2, None, 0), (3, "x", 0), (3, "y", 1)], f"k int, v string, {ORDINAL} int"
+    )
+    assert tuples(keep_last(rows, ["k"], prefer="v")) == [(1, "a"), (2, None), (3, "y")]
+
+
+def test_keep_last_reduces_copies_before_the_shuffle(spark):
+    """A key with very many copies must not gather in one task."""
+    rows = spark.range(1000).selectExpr("id % 2 AS k", "'a' AS t", f"id AS {ORDINAL}")
+    plan = keep_last(rows, ["k", "t"])._jdf.queryExecution().executedPlan().toString()
+    below_exchange = plan[plan.index("Exchange hashpartitioning"):]
+    assert "WindowGroupLimit" in below_exchange and "row_number(), 1, Partial" in below_exchange
+
+
 def test_keep_last_key_only(spark):
     rows = spark.createDataFrame([(1, 0), (1, 1)], f"k int, {ORDINAL} int")
     assert tuples(keep_last(rows, ["k"])) == [(1,)]
