@@ -32,6 +32,7 @@ from statledger.functions.values import (
     number_from_text,
     pad_id,
     ratio,
+    strip,
     zero_as_null,
 )
 
@@ -41,5 +42,5 @@ __all__ = [
     "nan_as_null",    "nullable_int", "number_from_text", "pad_id", "parse_clock_minutes", "parse_date",
     "parse_feed_minutes", "parse_height", "ratio", "role_slot", "round_minutes",
     "score_part", "season_label", "season_label_from_code", "season_label_from_date",
-    "shot_made", "zero_as_null",
+    "shot_made", "strip", "zero_as_null",
 ]

@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from statledger.fixed_values import EVENT_CODE_LABELS
 from statledger.functions.lookup import literal_map
-from statledger.functions.values import number_from_text, zero_as_null
+from statledger.functions.values import number_from_text, strip, zero_as_null
 
 
 def code_label(code: Column) -> Column:
@@ -18,7 +18,7 @@ def code_label(code: Column) -> Column:
 
 
 def event_type_or_unknown(text: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("Unknown"))
+    return F.coalesce(F.nullif(strip(text), F.lit("")), F.lit("Unknown"))
 
 
 def first_present(*values: Column) -> Column:

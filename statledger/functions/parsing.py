@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from statledger.functions.values import strip
+
 _HEIGHT = r"^\s*(\+?\d+)\s*-\s*([+-]?\d+)?\s*$"
 _ISO_DURATION = r"^PT(?:(\d+)M)?(?:([\d.]+)S)?$"
 _EXACT = "decimal(20,10)"
@@ -32,13 +34,13 @@ def _one_place(minutes: Column) -> Column:
 
 def parse_clock_minutes(text: Column) -> Column:
     """"34:12" or "34.5" -> minutes with one decimal; negative values stay."""
-    return _one_place(_total_minutes(F.trim(text)))
+    return _one_place(_total_minutes(strip(text)))
 
 
 def parse_feed_minutes(text: Column) -> Column:
     """As parse_clock_minutes, also "PT34M12.00S"; negative values become NULL."""
     # A duration turns into the clock form; the zeros stand in for absent parts.
-    clock = F.regexp_replace(F.trim(text), _ISO_DURATION, "0$1:0$2")
+    clock = F.regexp_replace(strip(text), _ISO_DURATION, "0$1:0$2")
     return _not_negative(_one_place(_total_minutes(clock)))
 
 
@@ -62,4 +64,4 @@ def parse_date(value: Column, strict: bool = True) -> Column:
 
 
 def full_name(first: Column, last: Column) -> Column:
-    return F.trim(F.concat(F.coalesce(first, F.lit("")), F.lit(" "), F.coalesce(last, F.lit(""))))
+    return strip(F.concat(F.coalesce(first, F.lit("")), F.lit(" "), F.coalesce(last, F.lit(""))))

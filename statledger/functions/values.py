@@ -16,6 +16,11 @@ def nan_as_null(number: Column) -> Column:
     return F.nullif(number, F.lit(float("nan")))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends (plain trim takes spaces only)."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def blank_as_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 

@@ -273,7 +273,7 @@ def clean_feed_team_stats(raw: DataFrame) -> DataFrame:
 def clean_feed_player_stats(raw: DataFrame) -> DataFrame:
     """Feed lines of players who played: rows whose minutes are blank, unreadable or
     negative go once the minutes are parsed."""
-    shown = raw.where(F.trim(F.col("minutes")) != "")
+    shown = raw.where(fn.strip(F.col("minutes")) != "")
     # Parsed once, before the shuffle: a filter on the result would be computed twice.
     parsed = shown.withColumn("minutes", fn.parse_feed_minutes(F.col("minutes")))
     keys = {"nba_game_id": fn.pad_id(F.col("gameId")), "nba_player_id": _int("personId")}

@@ -10,6 +10,7 @@ from statledger.queries import (  # noqa: F401  (each module registers its queri
     quality,
     scans,
     values,
+    warehouse,
 )
 from statledger.queries.registry import ORACLES, QUERIES
 

@@ -30,12 +30,15 @@ def _int(column):
     return f"CAST(round_even({column}, 0) AS INT)"
 
 
-@query("q_clean_games", f"""
+SQL_CLEAN_GAMES = f"""
     SELECT game_id AS nba_game_id, game_date, season_type AS game_type,
            team_id_home AS home_nba_team_id, team_id_away AS away_nba_team_id,
            {_int('pts_home')} AS home_score, {_int('pts_away')} AS away_score,
            right(season_id, 4) || '-' || right(CAST(CAST(right(season_id, 4) AS INT) + 1 AS VARCHAR), 2) AS season_label
-    FROM ({_SQL_REAL_GAMES})""")
+    FROM ({_SQL_REAL_GAMES})"""
+
+
+@query("q_clean_games", SQL_CLEAN_GAMES)
 def q_clean_games(spark, sf_dir):
     return clean.clean_games(raw_games(spark, sf_dir), teams(spark, sf_dir))
 
@@ -192,23 +195,32 @@ def q_clean_fact(spark, sf_dir):
     return _minutes_as_double(clean.clean_player_game_stats(raw, clean.team_name_lookup(histories)))
 
 
-@query("q_clean_feed_fact", f"""
+def sql_feed_lines(team):
+    """Clean rows of feed_lines()."""
+    return f"""
     SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS nba_game_id, CAST(l_partkey AS INT) AS nba_player_id,
-           CAST(l_suppkey AS INT) AS nba_team_id,
+           CAST({team} AS INT) AS nba_team_id,
            CAST(({SQL_FEED_TENTHS}) AS DOUBLE) / 10 AS minutes,
            {_SQL_STATS}
     FROM lineitem WHERE l_linenumber IN (1, 2, 7) OR (l_linenumber = 3 AND l_extendedprice < 99990)
-    QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY {SQL_LINE_ORDER_DESC}) = 1""")
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY {SQL_LINE_ORDER_DESC}) = 1"""
+
+
+@query("q_clean_feed_fact", sql_feed_lines("l_suppkey"))
 def q_clean_feed_fact(spark, sf_dir):
     """Feed box scores: minutes are parsed first, then blank, bad and negative ones drop the row."""
+    return _minutes_as_double(clean.clean_feed_player_stats(feed_lines(spark, sf_dir, "l_suppkey")))
+
+
+def feed_lines(spark, sf_dir, team):
+    """lineitem as player rows of the feed, with the given column as the team."""
     # Texts over the width of the minutes column would fail the job, as they should.
     fits = (F.col("l_linenumber") != 3) | (F.col("l_extendedprice") < 99990)
-    raw = load(spark, sf_dir, "lineitem").select(
+    return load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("gameId"), F.col("l_partkey").alias("personId"),
-        F.col("l_suppkey").alias("teamId"), F.when(fits, duration_text()).alias("minutes"),
+        F.col(team).cast("bigint").alias("teamId"), F.when(fits, duration_text()).alias("minutes"),
         *[column.alias(name) for name, column in _stats().items()], line_order(),
     )
-    return _minutes_as_double(clean.clean_feed_player_stats(raw))
 
 
 @query("q_left_enrich", """

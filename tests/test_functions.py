@@ -22,7 +22,7 @@ def test_height(spark):
 
 
 def test_clock_minutes(spark):
-    texts = ["34:12", "0:00", "34.5", None, "", "-5:30", "1:2:3", "12:03"]
+    texts = ["34:12", "0:00", "34.5", None, "", "-5:30", "1:2:3", "\t12:03\n"]
     assert values(spark, "string", texts, fn.parse_clock_minutes) == [
         Decimal("34.2"), Decimal("0.0"), Decimal("34.5"), None, None, Decimal("-4.5"), None, Decimal("12.1"),
     ]
@@ -96,7 +96,9 @@ def test_event_values(spark):
     assert values(spark, "int", [1, 12, 18, 999, None], fn.code_label) == [
         "Made Shot", "Start of Period", "Instant Replay", "Unknown (999)", "Unknown",
     ]
-    assert values(spark, "string", [None, " ", " 2pt "], fn.event_type_or_unknown) == ["Unknown", "Unknown", "2pt"]
+    assert values(spark, "string", [None, " ", " 2pt\t", "\n"], fn.event_type_or_unknown) == [
+        "Unknown", "Unknown", "2pt", "Unknown",
+    ]
     assert values(spark, "string", ["Made", ": Missed", "", None], fn.shot_made) == [True, False, None, None]
     assert values(spark, "string", ["0 - 2", "7", None], lambda c: fn.score_part(c, 2)) == ["2", None, None]
 
