@@ -115,15 +115,27 @@ def run_query(
 ) -> dict:
     """{"sql", "rows"} of a SELECT, or {"error"}; never raises for a bad query."""
     tag = f"adhoc-{uuid.uuid4().hex}"
-    timer = threading.Timer(timeout_ms / 1000, spark.interruptTag, [tag])
+    finished = threading.Event()
+    watch = threading.Thread(
+        target=_cancel_late, args=(spark, tag, timeout_ms / 1000, finished), daemon=True
+    )
+    spark.sparkContext.addJobTag(tag)
+    watch.start()
     try:
         result = guarded_select(spark, sql, tables, row_cap)
-        spark.addTag(tag)
-        timer.start()
         rows = [row.asDict() for row in result.collect()]
     except Exception as error:
         return {"error": str(error)}
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        finished.set()
+        spark.sparkContext.removeJobTag(tag)
     return {"sql": sql, "rows": rows}
+
+
+def _cancel_late(spark: SparkSession, tag: str, seconds: float, finished: threading.Event) -> None:
+    """Cancels the tagged jobs once their time is over, again until the query ends: a
+    cancellation that comes before a job has started finds nothing to stop."""
+    if finished.wait(seconds):
+        return
+    while not finished.wait(0.25):
+        spark.sparkContext.cancelJobsWithTag(tag)
