@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as driver
+from statledger.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +12,7 @@ def duck(sf_dir):
     return compare.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, duck, sf_dir, name):
     frame = driver.queries()[name](spark, sf_dir)
     assert compare.differences(frame, duck, driver.oracle_sql()[name]) is None
@@ -22,4 +23,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
