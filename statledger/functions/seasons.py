@@ -13,7 +13,7 @@ def season_label(start_year: Column) -> Column:
 
 def season_label_from_code(code: Column) -> Column:
     """"22025" -> "2025-26". A code without a year has no label, so its rows are rejected."""
-    return season_label(F.substring(code, 2, 100).try_cast("int"))
+    return season_label(F.substr(code, F.lit(2)).try_cast("int"))
 
 
 def game_type_from_code(code: Column) -> Column:

@@ -77,6 +77,8 @@ def _check_expression(expression, allowed: set) -> None:
     kind = _kind(expression)
     if kind in _SUBQUERIES:
         _check_plan(expression.plan(), allowed)
+    if "UnresolvedIdentifier" in kind:
+        raise UnsafeQueryError("A computed name is not allowed")
     if kind == "UnresolvedFunction":
         name = _items(expression.nameParts())
         if len(name) != 1 or name[0].lower() in _FORBIDDEN_FUNCTIONS:
@@ -123,7 +125,8 @@ def run_query(
     watch.start()
     try:
         result = guarded_select(spark, sql, tables, row_cap)
-        rows = [row.asDict() for row in result.collect()]
+        names = _distinct_names(result.columns)
+        rows = [dict(zip(names, row, strict=True)) for row in result.collect()]
     except Exception as error:
         return {"error": str(error)}
     finally:
@@ -132,6 +135,17 @@ def run_query(
     return {"sql": sql, "rows": rows}
 
 
+def _distinct_names(names: list) -> list:
+    """The names, with a number after those that stand to the left already."""
+    out = []
+    for name in names:
+        number, free = 2, name
+        while free in out:
+            number, free = number + 1, f"{name}_{number}"
+        out.append(free)
+    return out
+
+
 def _cancel_late(spark: SparkSession, tag: str, seconds: float, finished: threading.Event) -> None:
     """Cancels the tagged jobs once their time is over, again until the query ends: a
     cancellation that comes before a job has started finds nothing to stop."""

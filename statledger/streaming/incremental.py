@@ -11,7 +11,6 @@ import os
 from pyspark.sql import DataFrame, functions as F
 
 from statledger.functions import pad_id
-from statledger.operators.dedupe import ORDINAL
 from statledger.plans import clean, load
 from statledger.plans.warehouse import Warehouse
 from statledger.session import shared_folder, written
@@ -20,30 +19,27 @@ from statledger.sources.layouts import FEED_PLAYER_ROWS, FEED_TEAM_ROWS
 
 PENDING_TEAM_ROWS = "pending_team_rows"
 PENDING_PLAYER_ROWS = "pending_player_rows"
-RETENTION_DAYS = 30
 _GAME = "_game_id"
 
 
-def sync_stream(
-    warehouse: Warehouse, feed_dir: str, max_files: int = None, retention_days: int = RETENTION_DAYS
-) -> None:
+def sync_stream(warehouse: Warehouse, feed_dir: str, max_files: int = None) -> None:
     """Loads every landed file not read before, then stops.
 
-    `max_files` bounds one micro-batch. A row that waits longer than
-    `retention_days` moves to the rejects.
+    `max_files` bounds one micro-batch. A row waits until it can be placed, however
+    long that takes, so the result doesn't depend on how files fall into batches.
     """
 
     def merge(step):
         def on_batch(batch: DataFrame, _batch_id: int) -> None:
             target = Warehouse(batch.sparkSession, warehouse.database)
-            step(target, with_ordinal(batch), retention_days)
+            step(target, with_ordinal(batch))
 
         return on_batch
 
     _drain(warehouse, feed_dir, FEED_TEAM_ROWS, merge(merge_team_rows), max_files)
     _drain(warehouse, feed_dir, FEED_PLAYER_ROWS, merge(merge_player_rows), max_files)
     # Games of this run may have arrived after player rows of an earlier one.
-    merge_player_rows(warehouse, None, retention_days)
+    merge_player_rows(warehouse, None)
 
 
 def _drain(warehouse: Warehouse, feed_dir: str, layout, on_batch, max_files) -> None:
@@ -71,9 +67,15 @@ def _with_pending(warehouse: Warehouse, batch: DataFrame, table: str, game: str)
     return written(rows.withColumn(_GAME, pad_id(F.col(game))), table)
 
 
-def _overdue(retention_days: int):
-    landed = F.col(f"{ORDINAL}.landed")
-    return landed < F.current_timestamp() - F.make_dt_interval(F.lit(retention_days))
+def _placed_and_waiting(rows: DataFrame, placed: DataFrame) -> tuple:
+    """The rows of placed games and those of games still to come; every row is in one of them.
+
+    A row without a game can't be placed later either, so it goes on to the rejects.
+    """
+    known = placed.distinct().withColumn("_placed", F.lit(True))
+    marked = written(rows.join(known, _GAME, "left"), "placed")
+    waits = F.col("_placed").isNull() & F.col(_GAME).isNotNull()
+    return marked.where(~waits).drop("_placed"), marked.where(waits).drop("_placed")
 
 
 def _known_games(warehouse: Warehouse) -> DataFrame:
@@ -84,7 +86,7 @@ def _keep_pending(warehouse: Warehouse, table: str, rows: DataFrame) -> None:
     warehouse.publish(table, rows.drop(_GAME))
 
 
-def merge_team_rows(warehouse: Warehouse, batch: DataFrame, retention_days: int = RETENTION_DAYS) -> None:
+def merge_team_rows(warehouse: Warehouse, batch: DataFrame) -> None:
     """Games and team lines of the batch and of the rows that waited for it."""
     rows = _with_pending(warehouse, batch, PENDING_TEAM_ROWS, "GAME_ID")
     if rows is None:
@@ -94,23 +96,16 @@ def merge_team_rows(warehouse: Warehouse, batch: DataFrame, retention_days: int
     load.load_games(warehouse, games)
     # A pair that cannot be resolved is among the rejects and need not wait.
     placed = games.select(F.col("nba_game_id").alias(_GAME)).unionByName(_known_games(warehouse))
-    waiting = written(
-        rows.where(~_overdue(retention_days)).join(placed, _GAME, "left_anti"), "waiting"
-    )
-    ready = rows.join(waiting.select(_GAME), _GAME, "left_anti")
+    ready, waiting = _placed_and_waiting(rows, placed)
     load.load_team_game_stats(warehouse, clean.clean_feed_team_stats(ready))
     _keep_pending(warehouse, PENDING_TEAM_ROWS, waiting)
 
 
-def merge_player_rows(warehouse: Warehouse, batch: DataFrame, retention_days: int = RETENTION_DAYS) -> None:
+def merge_player_rows(warehouse: Warehouse, batch: DataFrame) -> None:
     """Player lines of loaded games, from the batch and from the rows that waited."""
     rows = _with_pending(warehouse, batch, PENDING_PLAYER_ROWS, "gameId")
     if rows is None:
         return
-    waiting = written(
-        rows.where(~_overdue(retention_days)).join(_known_games(warehouse), _GAME, "left_anti"),
-        "waiting",
-    )
-    ready = rows.join(waiting.select(_GAME), _GAME, "left_anti")
+    ready, waiting = _placed_and_waiting(rows, _known_games(warehouse))
     load.load_player_game_stats(warehouse, clean.clean_feed_player_stats(ready))
     _keep_pending(warehouse, PENDING_PLAYER_ROWS, waiting)

@@ -67,3 +67,18 @@ def test_slow_query_is_stopped(spark):
     assert "error" in result
     # Its tasks have stopped as well: the next query finds free cores.
     assert adhoc.run_query(spark, "SELECT 1 AS one", tables)["rows"] == [{"one": 1}]
+
+
+def test_computed_function_names_are_refused(spark):
+    for text in (
+        "SELECT identifier('reflect')('java.lang.System', 'getProperty', 'user.home') FROM t",
+        "SELECT identifier('x') FROM t",
+    ):
+        with pytest.raises(adhoc.UnsafeQueryError):
+            adhoc.vet(spark, text, ["t"])
+
+
+def test_equal_column_names_keep_both_values(spark):
+    tables = {"t": spark.createDataFrame([(1, 2)], "id int, v int")}
+    out = adhoc.run_query(spark, "SELECT a.id, b.id, count(*), count(*) FROM t a JOIN t b ON a.id = b.id GROUP BY 1, 2", tables)
+    assert out["rows"] == [{"id": 1, "id_2": 1, "count(1)": 1, "count(1)_2": 1}]
