@@ -21,6 +21,7 @@ FOLDS, HELD_OUT = 5, 0
 UNDETERMINED = "und"
 MOST_LANGUAGES = 200
 DOCS_PER_LANGUAGE = 400
+LOTS = 1_000_000_007
 DICTIONARY_BYTES = 48_000
 DICTIONARIES = 3
 BLOCK = 2048
@@ -35,12 +36,16 @@ def learn(docs: DataFrame, languages: int = MOST_LANGUAGES, per_language: int =
     """Dictionary contents by language, from bounded samples: of at most `languages` languages, the
     most frequent, `per_language` texts with the lowest hash of their id outside the held-out fold."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    names = sorted(row["lang"] for row in counts.collect())
-    # Ids first and texts for the chosen few only; each language's rank keeps few rows a task.
+    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    names = sorted(row["lang"] for row in counts)
+    # Ids first and texts for the chosen few only. The lots are even, so a language's lowest `per_language`
+    # lie below this share of them; what a task ranks doesn't grow with the input.
     draw = F.xxhash64("doc_id", "text")
-    cut = own.select("lang", draw.alias("draw"), "doc_id").where(F.col("lang").isin(names) if names else F.lit(False))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")))
+    lot = F.pmod(draw, F.lit(LOTS))
+    ceilings = [F.lit(v) for row in counts for v in (row["lang"], 2 * per_language * LOTS // row["count"])]
+    below = lot <= F.element_at(F.create_map(*ceilings), F.col("lang")) if names else F.lit(False)
+    cut = own.where(below).select("lang", lot.alias("lot"), draw.alias("draw"), "doc_id")
+    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "draw", "doc_id")))
     chosen = ranked.where(F.col("rank") <= per_language).select("doc_id", "draw").distinct()
     chosen = F.broadcast(chosen.withColumnsRenamed({"doc_id": "chosen_id", "draw": "chosen_draw"}))
     most = DICTIONARIES * DICTIONARY_BYTES
