@@ -193,10 +193,12 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, what, replacement) for distinct (kind, what); no two of a kind share a replacement
     and no replacement is an entity of the input."""
     known = written(found.distinct(), "entities")
+    # Drawing costs far more than reading these short rows, so they are dealt to as many tasks as a shuffle has.
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     taken = known.select("kind", F.col("what").alias("replacement"))
     open_now, done = known, None
     for attempt in range(ATTEMPTS):
-        drawn = open_now.withColumn("replacement", surrogate(F.col("kind"), F.col("what"), F.lit(attempt), key))
+        drawn = open_now.repartition(tasks, "kind", "what").withColumn("replacement", surrogate(F.col("kind"), F.col("what"), F.lit(attempt), key))
         first = Window.partitionBy("kind", "replacement").orderBy("what")
         drawn = drawn.withColumn("rank", F.row_number().over(first))
         free = drawn.where("rank = 1").join(taken, ["kind", "replacement"], "left_anti").select("kind", "what", "replacement")
