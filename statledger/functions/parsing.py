@@ -5,8 +5,12 @@ from pyspark.sql import Column, functions as F
 from statledger.functions.values import strip
 
 _HEIGHT = r"^\s*(\+?\d+)\s*-\s*([+-]?\d+)?\s*$"
-_ISO_DURATION = r"^PT(?:(\d+)M)?(?:([\d.]+)S)?$"
-_EXACT = "decimal(20,10)"
+# ISO 8601 durations without years and months, whose minutes would depend on a calendar:
+# days, then after a T hours, minutes and seconds, each with or without a fraction.
+_AMOUNT = r"(\d+(?:\.\d+)?)"
+_DURATION = rf"^P(?!$)(?:{_AMOUNT}D)?(?:T(?:{_AMOUNT}H)?(?:{_AMOUNT}M)?(?:{_AMOUNT}S)?)?$"
+# As many places as the shortest text of a double near a rounding tie has.
+_EXACT = "decimal(28,18)"
 
 
 def parse_height(text: Column) -> Column:
@@ -19,7 +23,7 @@ def parse_height(text: Column) -> Column:
     )
 
 
-def _total_minutes(text: Column) -> Column:
+def _clock_minutes(text: Column) -> Column:
     """Minutes of "MM:SS" (all after the first colon are seconds) or of a number, unrounded."""
     colon = F.instr(text, ":")
     minutes = F.substring_index(text, ":", 1).try_cast(_EXACT)
@@ -27,6 +31,14 @@ def _total_minutes(text: Column) -> Column:
     return minutes + seconds / F.lit(60)
 
 
+def _duration_minutes(text: Column) -> Column:
+    """Minutes of an ISO 8601 duration, unrounded; absent parts count 0, other texts are NULL."""
+    # A text that is no duration keeps its P, so that its first part is no number.
+    parts = F.split(F.regexp_replace(text, _DURATION, "0$1:0$2:0$3:0$4"), ":")
+    days, hours, minutes, seconds = (F.get(parts, F.lit(i)).try_cast(_EXACT) for i in range(4))
+    return (days * 1440 + hours * 60 + minutes).try_cast(_EXACT) + seconds / F.lit(60)
+
+
 def _one_place(minutes: Column) -> Column:
     # Decimal round() is HALF_UP.
     return F.round(minutes, 1).cast("decimal(12,1)")
@@ -34,14 +46,14 @@ def _one_place(minutes: Column) -> Column:
 
 def parse_clock_minutes(text: Column) -> Column:
     """"34:12" or "34.5" -> minutes with one decimal; negative values stay."""
-    return _one_place(_total_minutes(strip(text)))
+    return _one_place(_clock_minutes(strip(text)))
 
 
 def parse_feed_minutes(text: Column) -> Column:
-    """As parse_clock_minutes, also "PT34M12.00S"; negative values become NULL."""
-    # A duration turns into the clock form; the zeros stand in for absent parts.
-    clock = F.regexp_replace(strip(text), _ISO_DURATION, "0$1:0$2")
-    return _not_negative(_one_place(_total_minutes(clock)))
+    """As parse_clock_minutes, also "PT34M12.00S" and "P1DT2H"; negative values become NULL."""
+    stripped = strip(text)
+    minutes = F.when(F.startswith(stripped, F.lit("P")), _duration_minutes(stripped))
+    return _not_negative(_one_place(minutes.otherwise(_clock_minutes(stripped))))
 
 
 def _not_negative(rounded: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-# Rows of one group that a single task may still order on its own.
-LARGE_GROUP_ROWS = 1_000_000
+# A group of more rows is dealt out by day instead of staying in one task.
+GROUP_ROWS = 1_000_000
 
 
 def rolling_average(
@@ -14,83 +14,51 @@ def rolling_average(
     value: str,
     rows: int,
     output: str,
-    large_group_rows: int = LARGE_GROUP_ROWS,
-    period: str = "month",
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Average of `value` over the current and the rows-1 preceding rows of a group.
 
-    Rows of a group are ordered by (day, tie_break), both never NULL. A narrow count
-    first tells whether a group exceeds `large_group_rows`. If none does, the result
-    is one plain window. Otherwise every larger group is cut into calendar periods,
-    and each period also receives the earlier periods that hold the predecessors of
-    its first rows: the result is the same, and no task sees more of the group than
-    a few periods.
+    Rows of a group are ordered by (day, tie_break), both never NULL. One plan serves
+    every size: groups of more than `group_rows` rows, found by a narrow count, are cut
+    into days, and each day also receives the earlier days that hold the predecessors of
+    its first rows. The result is the same, and no task sees more of such a group than a
+    few days.
     """
     if rows < 1:
         raise ValueError("rows must be at least 1")
-    order = [F.col(day), F.col(tie_break)]
-    preceding = -(rows - 1)
-    if not has_large_group(df, group, large_group_rows):
-        window = Window.partitionBy(*group).orderBy(*order).rowsBetween(preceding, 0)
-        return df.withColumn(output, F.avg(value).over(window))
-    keyed = df.withColumn("_period", F.trunc(F.col(day), period))
-    forwards = _forwards(keyed, group, rows, large_group_rows)
-    joined = keyed.join(
-        forwards,
-        [F.col(name).eqNullSafe(F.col(f"_g_{name}")) for name in group]
-        + [F.col("_period") == F.col("_g_period")],
+    joined = df.join(
+        _forwards(df, group, day, rows, group_rows),
+        [F.col(name).eqNullSafe(F.col(f"_g_{name}")) for name in group] + [F.col(day) == F.col("_g_day")],
         "left",
-    ).drop(*[f"_g_{name}" for name in group], "_g_period")
-    # Small groups have no forwards: one NULL target, the whole group together.
-    targets = F.coalesce(
-        F.concat(F.array("_period"), F.col("_targets")), F.array(F.lit(None).cast("date"))
-    )
+    ).drop(*[f"_g_{name}" for name in group], "_g_day")
+    # Other groups have no forwards: one NULL target, the whole group together.
+    targets = F.coalesce(F.concat(F.array(day), F.col("_targets")), F.array(F.lit(None).cast(df.schema[day].dataType)))
     spread = joined.withColumn("_target", F.explode(targets)).drop("_targets")
-    frame = Window.partitionBy(*group, "_target").orderBy(*order).rowsBetween(preceding, 0)
-    own = F.col("_target").isNull() | (F.col("_target") == F.col("_period"))
-    return (
-        spread.withColumn(output, F.avg(value).over(frame))
-        .where(own)
-        .drop("_target", "_period")
-    )
-
+    frame = Window.partitionBy(*group, "_target").orderBy(day, tie_break).rowsBetween(-(rows - 1), 0)
+    own = F.col("_target").isNull() | (F.col("_target") == F.col(day))
+    return spread.withColumn(output, F.avg(value).over(frame)).where(own).drop("_target")
 
-def has_large_group(df: DataFrame, group: list, large_group_rows: int) -> bool:
-    """Whether some group has more rows than the limit; brings back one row at most."""
-    counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    return not counts.where(F.col("_n") > large_group_rows).limit(1).isEmpty()
 
+def _forwards(df: DataFrame, group: list, day: str, rows: int, group_rows: int) -> DataFrame:
+    """Per day of a large group: the later days that need its rows.
 
-def _forwards(keyed: DataFrame, group: list, rows: int, large_group_rows: int) -> DataFrame:
-    """Per period of a large group: the later periods that need its rows.
-
-    The table holds one row per (large group, period). Its windows run over counts
-    of calendar periods, never over the rows themselves.
+    The table holds one row per (large group, day). Its windows run over counts of
+    days, never over the rows themselves.
     """
-    counts = keyed.groupBy(*group, "_period").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*group)
-    ordered = whole.orderBy("_period")
-    later = ordered.rowsBetween(1, max(rows - 1, 1))
-    sized = (
-        counts.withColumn("_total", F.sum("_n").over(whole))
-        .withColumn("_through", F.sum("_n").over(ordered))
-        .where(F.col("_total") > large_group_rows)
-    )
-    # A later period needs this one while fewer than rows-1 rows lie in between.
-    next_periods = F.collect_list(
-        F.struct(
-            F.col("_period").alias("period"),
-            (F.col("_through") - F.col("_n")).alias("before"),
-        )
-    ).over(later)
+    large = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > group_rows)
+    large = large.select(*[F.col(name).alias(f"_g_{name}") for name in group])
+    same = [F.col(name).eqNullSafe(F.col(f"_g_{name}")) for name in group]
+    counts = df.join(large, same, "left_semi").groupBy(*group, day).agg(F.count("*").alias("_n"))
+    ordered = Window.partitionBy(*group).orderBy(day)
+    sized = counts.withColumn("_through", F.sum("_n").over(ordered))
+    # A later day needs this one while fewer than rows-1 rows lie in between.
+    next_days = F.collect_list(
+        F.struct(F.col(day).alias("day"), (F.col("_through") - F.col("_n")).alias("before"))
+    ).over(ordered.rowsBetween(1, max(rows - 1, 1)))
     needed = F.transform(
-        F.filter(
-            F.col("_next"), lambda entry: entry["before"] - F.col("_through") < F.lit(rows - 1)
-        ),
-        lambda entry: entry["period"],
+        F.filter("_next", lambda entry: entry["before"] - F.col("_through") < F.lit(rows - 1)),
+        lambda entry: entry["day"],
     )
-    return sized.withColumn("_next", next_periods).select(
-        *[F.col(name).alias(f"_g_{name}") for name in group],
-        F.col("_period").alias("_g_period"),
-        needed.alias("_targets"),
+    return sized.withColumn("_next", next_days).select(
+        *[F.col(name).alias(f"_g_{name}") for name in group], F.col(day).alias("_g_day"), needed.alias("_targets")
     )

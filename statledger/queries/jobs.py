@@ -71,18 +71,17 @@ def q_wide_to_long(spark, sf_dir):
 
 
 def _team_rows(spark, sf_dir):
-    """Feed rows: line 1 of an order is the home side, line 2 the away side.
+    """Feed rows: the odd lines of an order are the home side, the even ones the away side.
 
-    Orders without one of the two lines are one-sided; orders with several such
-    lines have several rows per side.
+    Orders of one line are one-sided; orders of several have several rows per side.
     """
-    rows = load(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= 2)
+    rows = load(spark, sf_dir, "lineitem")
     return rows.select(
         F.col("l_orderkey").cast("string").alias("GAME_ID"),
         day("l_shipdate").cast("string").alias("GAME_DATE"),
         F.col("l_suppkey").alias("TEAM_ID"),
         F.concat(F.lit("2"), F.year("l_shipdate").cast("string")).alias("SEASON_ID"),
-        F.when(F.col("l_linenumber") == 2, "AAA @ BBB")
+        F.when(F.col("l_linenumber") % 2 == 0, "AAA @ BBB")
         .when(F.col("l_returnflag") != "R", "AAA vs. BBB")
         .alias("MATCHUP"),
         F.col("l_quantity").alias("PTS"), (F.col("l_quantity") / 2).alias("REB"),
@@ -92,8 +91,8 @@ def _team_rows(spark, sf_dir):
 
 
 _SQL_LAST_SIDES = f"""
-    SELECT * FROM lineitem WHERE l_linenumber <= 2
-    QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {SQL_LINE_ORDER_DESC}) = 1"""
+    SELECT *, l_linenumber % 2 AS home FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY {SQL_LINE_ORDER_DESC}) = 1"""
 
 
 @query("q_pair_rows", f"""
@@ -103,7 +102,7 @@ _SQL_LAST_SIDES = f"""
            CAST(a.l_quantity AS INT) AS away_score,
            year(h.l_shipdate) || '-' || right(CAST(year(h.l_shipdate) + 1 AS VARCHAR), 2) AS season_label
     FROM ({_SQL_LAST_SIDES}) h JOIN ({_SQL_LAST_SIDES}) a
-      ON a.l_orderkey = h.l_orderkey AND h.l_linenumber = 1 AND a.l_linenumber = 2""")
+      ON a.l_orderkey = h.l_orderkey AND h.home = 1 AND a.home = 0""")
 def q_pair_rows(spark, sf_dir):
     return clean.clean_feed_games(_team_rows(spark, sf_dir))
 
@@ -112,7 +111,7 @@ def q_pair_rows(spark, sf_dir):
     SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS nba_game_id, CAST(l_suppkey AS INT) AS nba_team_id,
            {_int('l_quantity / 2')} AS rebounds, CAST(nullif(l_quantity, 7) AS INT) AS assists,
            month(CAST(l_shipdate AS DATE)) AS turnovers, CAST(l_quantity AS INT) AS points
-    FROM lineitem WHERE l_linenumber <= 2
+    FROM lineitem
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY {SQL_LINE_ORDER_DESC}) = 1""")
 def q_feed_team_stats(spark, sf_dir):
     return clean.clean_feed_team_stats(_team_rows(spark, sf_dir))
@@ -202,7 +201,7 @@ def sql_feed_lines(team):
            CAST({team} AS INT) AS nba_team_id,
            CAST(({SQL_FEED_TENTHS}) AS DOUBLE) / 10 AS minutes,
            {_SQL_STATS}
-    FROM lineitem WHERE l_linenumber IN (1, 2, 7) OR (l_linenumber = 3 AND l_extendedprice < 99990)
+    FROM lineitem WHERE l_linenumber IN (1, 2, 3, 7)
     QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY {SQL_LINE_ORDER_DESC}) = 1"""
 
 
@@ -214,11 +213,9 @@ def q_clean_feed_fact(spark, sf_dir):
 
 def feed_lines(spark, sf_dir, team):
     """lineitem as player rows of the feed, with the given column as the team."""
-    # Texts over the width of the minutes column would fail the job, as they should.
-    fits = (F.col("l_linenumber") != 3) | (F.col("l_extendedprice") < 99990)
     return load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("gameId"), F.col("l_partkey").alias("personId"),
-        F.col(team).cast("bigint").alias("teamId"), F.when(fits, duration_text()).alias("minutes"),
+        F.col(team).cast("bigint").alias("teamId"), duration_text().alias("minutes"),
         *[column.alias(name) for name, column in _stats().items()], line_order(),
     )
 

@@ -60,10 +60,13 @@ def q_widen_upsert(spark, sf_dir):
     )
 
 
+_LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 _SQL_CLASSIFIED = """
     SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_extendedprice,
            CASE WHEN s_suppkey IS NULL OR p_partkey IS NULL THEN 'unresolved'
-                WHEN o_orderkey IS NOT NULL THEN 'present' ELSE 'inserted' END AS outcome,
+                WHEN o_orderkey IS NOT NULL OR row_number() OVER (
+                  PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) > 1
+                THEN 'present' ELSE 'inserted' END AS outcome,
            CASE WHEN s_suppkey IS NULL AND p_partkey IS NULL THEN 'l_partkey,l_suppkey'
                 WHEN p_partkey IS NULL THEN 'l_partkey' WHEN s_suppkey IS NULL THEN 'l_suppkey'
                 ELSE '' END AS reason
@@ -78,10 +81,9 @@ def _classified(spark, sf_dir):
         Reference("l_partkey", load(spark, sf_dir, "part").where(F.col("p_size") > 5), "p_partkey"),
         Reference("l_suppkey", load(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0), "s_suppkey"),
     ])
-    present = load(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(
-        F.col("o_orderkey").alias("l_orderkey")
-    )
-    return classify(staged, present, ["l_orderkey"])
+    loaded = load(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = load(spark, sf_dir, "lineitem").join(loaded, "l_orderkey", "left_semi")
+    return classify(staged, lines.select(*_LINE_KEY).distinct(), _LINE_KEY)
 
 
 @query("q_load_outcome", _SQL_CLASSIFIED)

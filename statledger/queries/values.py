@@ -31,7 +31,7 @@ def duration_text():
     """Seven spellings of a duration, chosen by line number."""
     minutes = F.col("l_quantity").cast("int").cast("string")
     seconds = F.lpad(F.month(day("l_shipdate")).cast("string"), 2, "0")
-    decimal = (F.col("l_extendedprice").cast("decimal(12,2)") / 100).cast("decimal(12,4)")
+    decimal = (F.col("l_extendedprice").cast("decimal(12,2)") / 1000).cast("decimal(12,5)")
     number = F.col("l_linenumber")
     return (
         F.when(number == 1, F.concat(F.lit("PT"), minutes, F.lit("M"), seconds, F.lit(".00S")))
@@ -47,7 +47,7 @@ def duration_text():
 _MINUTE_TENTHS = """CASE l_linenumber
              WHEN 1 THEN CAST(l_quantity AS BIGINT) * 10 + (month(CAST(l_shipdate AS DATE)) + 3) // 6
              WHEN 2 THEN CAST(l_quantity AS BIGINT) * 10 + (month(CAST(l_shipdate AS DATE)) + 3) // 6
-             WHEN 3 THEN (CAST(round(l_extendedprice * 100) AS BIGINT) + 500) // 1000 END"""
+             WHEN 3 THEN (CAST(round(l_extendedprice * 100) AS BIGINT) + 5000) // 10000 END"""
 # Tenths of the feed reading of duration_text(); the clock reading follows from it.
 SQL_FEED_TENTHS = f"coalesce({_MINUTE_TENTHS}, CASE l_linenumber WHEN 7 THEN 0 END)"
 # -MM:SS reads as -MM plus SS seconds; ties go away from zero.

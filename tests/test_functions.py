@@ -22,24 +22,26 @@ def test_height(spark):
 
 
 def test_clock_minutes(spark):
-    texts = ["34:12", "0:00", "34.5", None, "", "-5:30", "1:2:3", "\t12:03\n"]
+    texts = ["34:12", "0:00", "34.5", None, "", "-5:30", "1:2:3", "\t12:03\n", "12.54999999999999"]
     assert values(spark, "string", texts, fn.parse_clock_minutes) == [
-        Decimal("34.2"), Decimal("0.0"), Decimal("34.5"), None, None, Decimal("-4.5"), None, Decimal("12.1"),
+        Decimal("34.2"), Decimal("0.0"), Decimal("34.5"), None, None, Decimal("-4.5"), None, Decimal("12.1"), Decimal("12.5"),
     ]
 
 
 def test_feed_minutes(spark):
-    texts = ["PT34M12.00S", "34:12", "PT5M00.00S", "PT", "PT30S", None, "", "-5:30", "PT1.2.3S", "DNP", "PT1H"]
+    texts = ["PT34M12.00S", "34:12", "PT5M00.00S", "PT", "PT30S", None, "", "-5:30", "PT1.2.3S", "DNP", "PT1H",
+             "P1DT2H3M", "PT0.5H", "P", "P1", "P0:1:2:3", "1:2:3:4", "PT-1M", "P01:02:03:04"]
     assert values(spark, "string", texts, fn.parse_feed_minutes) == [
         Decimal("34.2"), Decimal("34.2"), Decimal("5.0"), Decimal("0.0"), Decimal("0.5"),
-        None, None, None, None, None, None,
+        None, None, None, None, None, Decimal("60.0"),
+        Decimal("1563.0"), Decimal("30.0"), None, None, None, None, None, None,
     ]
 
 
 def test_round_minutes_half_up_and_negative(spark):
-    numbers = [39.166666666666664, 0.25, 0.35, -5.0, float("nan"), None]
+    numbers = [39.166666666666664, 0.25, 0.35, -5.0, float("nan"), None, 12.549999999999999, 39.04999999999999, 0.049999999999999996]
     assert values(spark, "double", numbers, fn.round_minutes) == [
-        Decimal("39.2"), Decimal("0.3"), Decimal("0.4"), None, None, None,
+        Decimal("39.2"), Decimal("0.3"), Decimal("0.4"), None, None, None, Decimal("12.5"), Decimal("39.0"), Decimal("0.0"),
     ]
 
 
