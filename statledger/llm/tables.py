@@ -1,6 +1,8 @@
 """Shared pieces: input tables, document folds, ASCII lower-casing and Arrow batch mapping."""
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -11,6 +13,7 @@ LOWER = UPPER.lower()
 # Word patterns of the contracts: letters, digits and anything beyond ASCII; or runs between ASCII space.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
+PIECE_BYTES = 1 << 22
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +54,24 @@ def values_of(batch: pa.RecordBatch, name: str) -> list:
     return [b"" if v is None else v for v in values.to_pylist()]
 
 
+def pieces(batches, name: str, most: int = PIECE_BYTES):
+    """The batches cut by rows into pieces of about `most` bytes in the named column.
+
+    What a task holds of texts as Python values then doesn't depend on Spark's batches. A
+    text longer than that is a piece of its own, whole; columns without text stay as they are.
+    """
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        lots = np.cumsum(sizes, dtype=np.int64) // most
+        starts = np.append(0, np.flatnonzero(np.diff(lots)) + 1)
+        for start, end in zip(starts, np.append(starts[1:], len(batch)), strict=True):
+            yield batch.slice(int(start), int(end - start))
+
+
 def append_columns(df: DataFrame, inputs: list, fields: list, make) -> DataFrame:
     """df with more columns, computed by Arrow batches.
 
@@ -61,7 +82,7 @@ def append_columns(df: DataFrame, inputs: list, fields: list, make) -> DataFrame
 
     def run(batches):
         compute = make()
-        for batch in batches:
+        for batch in pieces(batches, inputs[0]):
             lists = compute(*[values_of(batch, name) for name in inputs])
             arrays = [pa.array(v, t) for v, t in zip(lists, types, strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns + arrays, batch.schema.names + names)
