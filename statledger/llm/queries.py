@@ -129,7 +129,47 @@ def op8_host_rules(spark, sf_dir):
     return host_rules.judge(load(spark, sf_dir, "documents"))
 
 
-@query("op9_licenses")
+_NOTICES = ", ".join(
+    f"('{label}', '{notice}', '{phrase}')" for label, (notice, phrases) in licenses.TEMPLATES.items() for phrase in phrases)
+_BASE = ", ".join(f"('{label}', '{phrase}')" for phrase, label in licenses.PHRASES.items())
+
+
+@query("op9_licenses", f"""
+WITH notices(label, notice, phrase) AS (VALUES {_NOTICES}),
+base(label, phrase) AS (VALUES {_BASE}),
+docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+places AS (SELECT row, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM docs),
+spots AS (SELECT label, word, min(i) AS pos FROM (
+    SELECT label, unnest(string_split(notice, ' ')) AS word, unnest(range(0, len(string_split(notice, ' ')))) AS i
+    FROM (SELECT DISTINCT label, notice FROM notices)) GROUP BY label, word),
+counts AS (SELECT word, count(DISTINCT row) AS n FROM places WHERE word IN (SELECT word FROM spots) GROUP BY word),
+weighed AS (SELECT label, s.word, pos, coalesce(n, 0) AS n,
+    ln(((SELECT count(*) FROM documents) + 1.0) / (coalesce(n, 0) + 1)) + 1e-3 AS weight
+  FROM spots s LEFT JOIN counts c ON c.word = s.word),
+anchors AS (SELECT * FROM weighed
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY n, pos) <= {licenses.ANCHORS}),
+totals AS (SELECT label, sum(weight) AS total FROM anchors GROUP BY label),
+standing AS (SELECT row, a.label, round(sum(weight / total), 6) AS share
+  FROM places p JOIN anchors a ON a.word = p.word JOIN totals t ON t.label = a.label
+  GROUP BY row, a.label, p.i - a.pos HAVING round(sum(weight / total), 6) >= {licenses.LEAST_SHARE}),
+own AS (SELECT s.row, s.label, max(share) AS share FROM standing s JOIN docs d ON d.row = s.row
+  WHERE NOT EXISTS (SELECT 1 FROM notices n WHERE n.label = s.label
+    AND NOT contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || n.phrase || ' '))
+  GROUP BY s.row, s.label),
+stated AS (SELECT p.row, b.label, p.i FROM places p JOIN docs d ON d.row = p.row
+  JOIN base b ON string_split(b.phrase, ' ')[1] = p.word
+  WHERE array_to_string(d.w[p.i + 1:p.i + len(string_split(b.phrase, ' '))], ' ') = b.phrase),
+bases AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM stated GROUP BY row),
+named AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT row, label FROM stated UNION ALL SELECT row, label FROM own) GROUP BY row),
+best AS (SELECT row, max(share) AS share FROM own GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM docs LEFT JOIN bases ON bases.row = docs.row LEFT JOIN named ON named.row = docs.row LEFT JOIN best ON best.row = docs.row
+""")
 def op9_licenses(spark, sf_dir):
     return licenses.find(load(spark, sf_dir, "documents"))
 
