@@ -4,6 +4,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from statledger.operators.filters import spread_key
+
 UNRESOLVED = "_unresolved"
 
 
@@ -38,7 +40,9 @@ def with_references(df: DataFrame, references: list) -> DataFrame:
             F.col(reference.key).alias(found),
             *[F.col(source).alias(f"_carry_{number}_{target}") for source, target in reference.carry.items()],
         )
-        df = df.join(dimension, F.col(reference.column) == F.col(found), "left")
+        # Empty slots are most of some columns; they match nothing and must not gather in one task.
+        given = F.col(reference.column).isNotNull()
+        df = df.join(dimension, given & (spread_key(df, reference.column, given) == F.col(found)), "left")
         absent = F.col(found).isNull()
         if reference.required:
             missing.append(F.when(absent, F.lit(reference.column)))

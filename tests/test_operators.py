@@ -230,3 +230,26 @@ def test_audits(spark):
     assert [r.season_label for r in coverage_gaps(audit, 0.4).collect()] == ["s2"]
     profile = fill_rates(events, ["g"], ["x"], "x").orderBy("g").first()
     assert (profile.n_rows, float(profile.filled_x), profile.first_moment) == (2, 0.5, 1)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_that_match_nothing_are_spread(spark, no_broadcast):
+    rows = spark.range(2000).select(
+        "id", F.when(F.col("id") % 100 != 0, F.lit(7)).alias("team"), F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("city"),
+        F.when(F.col("id") % 50 == 0, F.col("id")).alias("slot"))
+    lookup = spark.createDataFrame([("c0", 9)], "city string, value int")
+    filled = fill_from_lookup(rows, "team", {"city": "city"}, lookup, "value")
+    slots = spark.range(0, 1000, 50).withColumnRenamed("id", "key")
+    found = with_references(rows, [Reference("slot", slots, "key", required=False)])
+    assert {r["team"]: r["count"] for r in filled.groupBy("team").count().collect()} == {7: 1980, 9: 20}
+    assert found.where("slot is not null").count() == 20 and found.count() == 2000
+    for result in (filled, found):
+        join = result._jdf.queryExecution().optimizedPlan().toString()
+        assert "xxhash64" in join.split("Join LeftOuter")[1].split("\n")[0]
