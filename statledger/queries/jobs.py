@@ -59,13 +59,16 @@ def q_clean_games_backfill(spark, sf_dir):
     return clean.clean_games_backfill(raw, teams(spark, sf_dir))
 
 
-@query("q_wide_to_long", f"""
+SQL_TEAM_LINES = f"""
     SELECT game_id AS nba_game_id, team_id_home AS nba_team_id, {_int('reb_home')} AS rebounds,
            {_int('ast_home')} AS assists, {_int('tov_home')} AS turnovers, {_int('pts_home')} AS points
     FROM ({_SQL_REAL_GAMES})
     UNION ALL
     SELECT game_id, team_id_away, {_int('reb_away')}, {_int('ast_away')}, {_int('tov_away')}, {_int('pts_away')}
-    FROM ({_SQL_REAL_GAMES})""")
+    FROM ({_SQL_REAL_GAMES})"""
+
+
+@query("q_wide_to_long", SQL_TEAM_LINES)
 def q_wide_to_long(spark, sf_dir):
     return clean.clean_team_game_stats(raw_games(spark, sf_dir), teams(spark, sf_dir))
 
