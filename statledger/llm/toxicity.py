@@ -5,8 +5,9 @@ training texts; others share one) and the learned vectors of its runs of four
 characters. Two gated recurrent nets read each window forwards and backwards, attention
 pools their states, and a logistic unit scores the window. Training is plain numpy on
 the driver, over a bounded sample of the labelled documents: at most TRAIN_DOCS
-documents and TRAIN_WINDOWS windows, both drawn by hash; a fifth of the documents only
-tells when to stop and how to set the scale. Scoring reads every window of every
+documents drawn by hash, of each TRAIN_PER_DOC windows drawn over its whole text, and
+TRAIN_WINDOWS windows in all; a fifth of the documents only tells when to stop and, read
+whole, how to set the scale. Scoring reads every window of every
 whole text; a document's score is its highest window's, set on the scale of a
 probability by a logistic fit.
 """
@@ -17,14 +18,15 @@ from zlib import crc32 as _crc
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField
 
 from statledger.llm.tables import append_columns, fold, free_name
+from statledger.session import written
 
 WINDOW, STRIDE = 32, 24
 TRAIN_DOCS = 5000
 TRAIN_WINDOWS = 24_000
-TRAIN_WORDS = 2_000_000
+TRAIN_PER_DOC = 16
 VOCABULARY = 20_000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -220,8 +222,8 @@ def _score_parts(net, words, parts, owners, best, step: int = 1024):
         np.maximum.at(best, of[lot:lot + step], net.forward(words.table[found], mask))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> list:
-    """(text, label) of at most `most` labelled documents outside the held-out fold, those with
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
+    """(draw, mark, text) of at most `most` labelled documents outside the held-out fold, those with
     the lowest hash of their id. A document with several labels is toxic if one says so."""
     marked = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("doc_id"))
@@ -230,30 +232,72 @@ def training_texts(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen_id"), F.col("toxic").alias("mark"), "draw"))
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("chosen_id"))
     # Repeated rows of an id may hold several texts; the bound is on documents, so one is taken.
-    rows = rows.groupBy("doc_id", "draw", "mark").agg(F.min("text").alias("text")).orderBy("draw", "doc_id")
-    return [((r["text"] or "").encode(), int(r["mark"])) for r in rows.select("text", "mark").toLocalIterator()]
-
-
-def train(rows: list, seed: int = 7) -> tuple:
-    """(net, scale, shift, prior) from (text, label) pairs."""
-    prior = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
-    tokens, kept, words_left = [], [], TRAIN_WORDS
-    for data, y in rows:
-        words = _WORD.findall(data.lower())
-        if words and words_left > 0:
-            # A very long text counts in part for the fit; scoring reads all of it.
-            tokens.append(words[:words_left])
-            words_left -= len(tokens[-1])
-            kept.append(y)
-    y = np.array(kept, np.float32)
+    return written(rows.groupBy("doc_id", "draw", "mark").agg(F.min("text").alias("text")).drop("doc_id"), "sample")
+
+
+def drawn_windows(words: list, draw: int, most: int = TRAIN_PER_DOC) -> list:
+    """At most `most` windows of the words: their places are cut into equal parts, and each part
+    gives the window at a place drawn by the hash. No words give no window."""
+    if not words:
+        return []
+    places = max(1, len(words) - WINDOW + 1)
+    edges = np.linspace(0, places, min(most, places) + 1).astype(np.int64)
+    starts = np.random.default_rng(draw & (1 << 63) - 1).integers(edges[:-1], edges[1:])
+    return [words[s:s + WINDOW] for s in starts.tolist()]
+
+
+def training_windows(sample: DataFrame) -> list:
+    """(draw, label, windows) of each document of the sample. The tasks cut them, so that what the
+    driver gets of a document doesn't grow with its text."""
+    def compute(texts, draws):
+        return [[[b" ".join(w) for w in drawn_windows(_WORD.findall(data.lower()), draw)]
+                 for data, draw in zip(texts, draws, strict=True)]]
+
+    field = StructField("windows", ArrayType(BinaryType()))
+    cut = append_columns(sample, ["text", "draw"], [field], lambda: compute).drop("text")
+    return [(r["draw"], int(r["mark"]), [bytes(w).split(b" ") for w in r["windows"]])
+            for r in cut.orderBy("draw").toLocalIterator()]
+
+
+def _tops_of(sample: DataFrame, draws: set, net: Net) -> tuple:
+    """(highest logits over the whole texts of the sample's documents with these draws, their labels)."""
+    shared = sample.sparkSession.sparkContext.broadcast((draws, net.vocabulary, net.w))
+
+    def make():
+        own, *state = shared.value
+        net = Net.of(*state)
+        words = _Words(net)
+
+        def compute(texts, draws):
+            some = [k for k, draw in enumerate(draws) if draw in own]
+            out = [None] * len(texts)
+            for k, top in zip(some, top_logits(net, [texts[k] for k in some], words).tolist(), strict=True):
+                out[k] = top
+            return [out]
+
+        return compute
+
+    tops = append_columns(sample, ["text", "draw"], [StructField("top", DoubleType())], make)
+    rows = tops.where("top is not null").select("draw", "mark", "top").orderBy("draw").collect()
+    return np.array([r["top"] for r in rows]), np.array([r["mark"] for r in rows], np.float32)
+
+
+def train(docs: DataFrame, labels: DataFrame, seed: int = 7) -> tuple:
+    """(net, scale, shift, prior) from the sample of the labelled documents."""
+    sample = training_sample(docs, labels)
+    rows = training_windows(sample)
+    prior = (sum(y for _, y, _ in rows) + 0.5) / (len(rows) + 1)
+    rows = [r for r in rows if r[2]]
+    y = np.array([label for _, label, _ in rows], np.float32)
     checks = np.arange(len(y)) % 5 == 4
     if min((y == v)[part].sum() for v in (0, 1) for part in (checks, ~checks)) == 0:
         return None, 0.0, 0.0, prior
-    fit = [t for t, c in zip(tokens, checks, strict=True) if not c]
-    net = Net(*_vocabulary(fit, y[~checks]), seed)
-    _fit(net, fit, y[~checks], [t for t, c in zip(tokens, checks, strict=True) if c], y[checks], seed)
-    top = top_logits(net, [b" ".join(t) for t, c in zip(tokens, checks, strict=True) if c], _Words(net))
-    scale, shift = _fit_logistic(np.clip(top, -_REACH, _REACH), y[checks])
+    fit = [r[2] for r, c in zip(rows, checks, strict=True) if not c]
+    net = Net(*_vocabulary([[w for window in windows for w in window] for windows in fit], y[~checks]), seed)
+    _fit(net, fit, y[~checks], [r[2] for r, c in zip(rows, checks, strict=True) if c], y[checks], seed)
+    # The scale is set on what scoring compares with it, the highest window of the whole text.
+    top, marks = _tops_of(sample, {r[0] for r, c in zip(rows, checks, strict=True) if c}, net)
+    scale, shift = _fit_logistic(np.clip(top, -_REACH, _REACH), marks)
     return net, scale, shift, prior
 
 
@@ -278,33 +322,30 @@ def _odds(counts, rate):
     return 0.5 * (np.log(p / (1 - p)) - np.log(rate / (1 - rate)))
 
 
-def _window_rows(tokens, y, ids):
-    windows, labels, of = [], [], []
-    for k, (words, label) in enumerate(zip(tokens, y, strict=True)):
-        row = np.array([ids[w] for w in words], np.int32)
-        starts = windows_of(len(row))
-        row = np.append(row, np.zeros(max(0, WINDOW - len(row)), np.int32))
-        windows.append(row[starts[:, None] + np.arange(WINDOW)])
-        labels.append(np.full(len(starts), label, np.float32))
-        of.append(np.full(len(starts), k))
-    return np.concatenate(windows), np.concatenate(labels), np.concatenate(of)
+def _window_rows(docs, y, ids):
+    sizes = [len(windows) for windows in docs]
+    rows = np.zeros((sum(sizes), WINDOW), np.int32)
+    for row, words in zip(rows, (words for windows in docs for words in windows), strict=True):
+        row[:len(words)] = [ids[w] for w in words]
+    return rows, np.repeat(y.astype(np.float32), sizes), np.repeat(np.arange(len(docs)), sizes)
 
 
-def _fit(net, tokens, y, check_tokens, check_y, seed):
+def _fit(net, docs, y, check_docs, check_y, seed):
     """Adam over windows, first each with its document's label, then only those that tell: the
     highest window of each document, and of a clean one the next highest too. The weights of the later
     round with the lowest log loss of the check documents, set on their own scale, stay."""
     rng = np.random.default_rng(seed)
     ids, grams = {}, []
-    for word in sorted({w for words in tokens for w in words}):
+    for word in sorted({w for windows in docs for words in windows for w in words}):
         ids[word] = len(ids) + 1
         grams.append(_grams(word))
     lookup = np.array([_PAD] + [net.vocabulary.get(w, _OTHER - 2) + 2 for w in ids], np.int32)
     offsets = np.append(0, np.cumsum([len(g) for g in grams])).astype(np.int64)
     flat = np.concatenate([np.array(g, np.int32) for g in grams])
-    windows, labels, of = _window_rows(tokens, y, ids)
+    windows, labels, of = _window_rows(docs, y, ids)
     order = rng.permutation(len(windows))[:TRAIN_WINDOWS]
-    check_texts = [b" ".join(t) for t in check_tokens]
+    check_texts = [b" ".join(words) for windows in check_docs for words in windows]
+    check_first = np.append(0, np.cumsum([len(windows) for windows in check_docs])[:-1])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     best, best_loss, step, even = None, np.inf, 0, np.ones(96, np.float32)
     rounds = int(np.clip(64_000 // len(order), 2, 12))
@@ -343,7 +384,8 @@ def _fit(net, tokens, y, check_tokens, check_y, seed):
                 v += 0.001 * (g * g - v)
                 rate = 0.003 if name in ("words", "grams") else 0.01
                 net.w[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        top = np.clip(top_logits(net, check_texts, _Words(net)), -_REACH, _REACH)
+        top = np.maximum.reduceat(top_logits(net, check_texts, _Words(net)), check_first)
+        top = np.clip(top, -_REACH, _REACH)
         scale, shift = _fit_logistic(top, check_y)
         p = np.clip(_sigmoid(scale * top + shift), 1e-6, 1 - 1e-6)
         loss = -(check_y * np.log(p) + (1 - check_y) * np.log(1 - p)).mean()
@@ -417,12 +459,12 @@ def with_scores(docs: DataFrame, model: tuple, text: str = "text") -> tuple:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score and predicted of every document; repeated rows score alike."""
-    model = train(training_texts(docs, labels))
+    model = train(docs, labels)
     scored, name = with_scores(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", F.col(name).alias("score"), (F.col(name) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def remove(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score THRESHOLD or more; all columns stay as they are."""
-    scored, name = with_scores(docs, train(training_texts(docs, labels)))
+    scored, name = with_scores(docs, train(docs, labels))
     return scored.where(F.col(name) < THRESHOLD).drop(name)
