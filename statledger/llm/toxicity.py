@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField
 from statledger.llm.tables import append_columns, fold, free_name
 from statledger.session import written
 
-WINDOW, STRIDE = 32, 24
+WINDOW = 32
 TRAIN_DOCS = 5000
 TRAIN_WINDOWS = 24_000
 TRAIN_PER_DOC = 16
@@ -140,9 +140,8 @@ class Net:
 
 
 def windows_of(count: int) -> np.ndarray:
-    """Starts of the windows over so many words: every STRIDE words, and one that ends the text."""
-    last = max(0, count - WINDOW)
-    return np.unique(np.append(np.arange(0, last + 1, STRIDE), last))
+    """Starts of the windows over so many words: one at every word that a whole window follows."""
+    return np.arange(max(1, count - WINDOW + 1))
 
 
 class _Words:
@@ -215,11 +214,13 @@ def _score_parts(net, words, parts, owners, best, step: int = 1024):
         of.append(np.full(len(first), owner))
         at += len(part)
     starts, lengths, of = np.concatenate(starts), np.concatenate(lengths), np.concatenate(of)
+    # Windows of whole length are looked up as runs of one table of gates; a shorter text is a window padded to that.
     span = np.arange(WINDOW)
+    gates = words.table[rows]
     for lot in range(0, len(starts), step):
-        mask = span < lengths[lot:lot + step, None]
-        found = np.where(mask, rows[starts[lot:lot + step, None] + span], _PAD)
-        np.maximum.at(best, of[lot:lot + step], net.forward(words.table[found], mask))
+        first, mask = starts[lot:lot + step, None], span < lengths[lot:lot + step, None]
+        found = gates[first + span] if mask.all() else words.table[np.where(mask, rows[first + span], _PAD)]
+        np.maximum.at(best, of[lot:lot + step], net.forward(found, mask))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:

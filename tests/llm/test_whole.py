@@ -17,6 +17,17 @@ def test_a_long_text_takes_no_other_texts_place_in_training(spark, monkeypatch):
     assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in rows]) > 0.95
 
 
+def test_every_window_of_a_text_is_scored():
+    rng = np.random.default_rng(0)
+    words = [str(k).encode() for k in range(40)]
+    net = toxicity.Net({w: k for k, w in enumerate(words)}, rng.normal(0, 2, 42), np.zeros(toxicity._GRAMS))
+    for count in (5, 32, 33, 150):
+        text = [words[k] for k in rng.integers(0, 40, count)]
+        each = [b" ".join(text[k:k + toxicity.WINDOW]) for k in range(max(1, count - toxicity.WINDOW + 1))]
+        tops = toxicity.top_logits(net, [*each, b" ".join(text), b"", b" ".join(text)], toxicity._Words(net))
+        assert tops[-3] == tops[-1] and tops[-3] == np.float32(max(tops[:len(each)])) and tops[-2] == -np.inf
+
+
 def test_training_windows_are_drawn_over_the_whole_text():
     words = [str(k).encode() for k in range(10_000)]
     drawn = toxicity.drawn_windows(words, -5)
