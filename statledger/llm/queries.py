@@ -1,12 +1,16 @@
 """Driver queries of the operators over the whole tables, each through its operator."""
 
+import public_tokenizers
+
 from statledger.llm import (
+    alignment,
     ctw,
     decontaminate,
     host_rules,
     language,
     licenses,
     mixing,
+    packing,
     pii,
     quality_model,
     simhash,
@@ -179,6 +183,18 @@ def op10_ctw(spark, sf_dir):
     return ctw.score(load(spark, sf_dir, "documents"))
 
 
+@query("op11_alignment")
+def op11_alignment(spark, sf_dir):
+    path = public_tokenizers.path
+    return alignment.align(load(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+@query("op13_packing")
+def op13_packing(spark, sf_dir):
+    packed = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.drop("ids")
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
