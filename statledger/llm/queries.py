@@ -1,6 +1,7 @@
 """Driver queries of the operators over the whole tables, each through its operator."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from statledger.llm import (
     alignment,
@@ -15,6 +16,7 @@ from statledger.llm import (
     quality_model,
     simhash,
     toxicity,
+    whitening,
 )
 from statledger.llm.tables import held_out, load
 
@@ -189,6 +191,12 @@ def op11_alignment(spark, sf_dir):
     return alignment.align(load(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
 
 
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    rows = whitening.whiten(load(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 @query("op13_packing")
 def op13_packing(spark, sf_dir):
     packed = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
