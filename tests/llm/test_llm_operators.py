@@ -1,6 +1,7 @@
 """Operators against brute force, and models by their accuracy on documents they never saw."""
 
 import itertools
+import os
 import random
 import sys
 from collections import Counter, defaultdict
@@ -186,7 +187,7 @@ def test_gradients_equal_differences():
 
 
 def test_oracles_agree(spark):
-    sys.path.insert(0, "/root/repo/tests")
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import compare
 
     from statledger.llm.queries import ORACLES, QUERIES
