@@ -26,7 +26,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from statledger.llm.tables import pieces as text_pieces
 from statledger.llm.tables import values_of
-from statledger.llm.vocabulary import WordIds, tokenizer
+from statledger.llm.vocabulary import WordIds, tokenizer, word_end_encoder
 from statledger.session import written
 
 CAPACITY = 2048
@@ -132,13 +132,12 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_ids: bo
     types = [to_arrow_type(f.dataType) for f in _PIECE]
 
     def run(batches):
-        made = tokenizer(vocabulary, special_as_text=False)
-        words = WordIds(lambda new: [e.ids for e in made.encode_batch([w.decode(errors="replace") for w in new], add_special_tokens=False)])
+        encode = word_end_encoder(tokenizer(vocabulary, special_as_text=False))
+        words = WordIds(lambda new: encode([word.decode(errors="replace") for word in new]))
         lot = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in text_pieces(batches, "text"):
-            # ASCII space is dropped before the merges, so no token holds or depends on it.
-            texts = [text.split() for text in values_of(batch, "text")]
+            texts = [_words(text) for text in values_of(batch, "text")]
             words.learn(texts)
             rows, numbers, starts, lengths, sums, kept = [], [], [], [], [], []
             for k, text in enumerate(texts):
@@ -161,6 +160,12 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_ids: bo
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _words(text: bytes) -> list:
+    """The text's words between ASCII spaces, which no token holds or depends on. A-Z are lowered here,
+    as the vocabulary lowers them, but where they may spell a special token."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
 def _places(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Number of each length among its like, going on from `seen`, which moves on."""
     order = np.argsort(lengths, kind="stable")

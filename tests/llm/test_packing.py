@@ -7,9 +7,11 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from statledger.llm import packing
+from statledger.llm import packing, vocabulary
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -122,3 +124,19 @@ def test_whole_documents(spark, sf_dir):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), VOCABULARY).collect() == []
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab Z.'1sLVEöÀØĿİ<|>_\n\tÉéß́ 　\x01\x1c日ΣK"), max_size=30), max_size=4))
+def test_ids_of_any_text(encoder, texts):
+    made, encode = encoder
+    words = [packing._words(text.encode()) for text in [*texts, "<|endoftext|> <|EndOfText|>a it's"]]
+    table = vocabulary.WordIds(lambda new: encode([w.decode() for w in new]))
+    table.learn(words)
+    for text, own in zip(texts, words, strict=False):
+        assert table.of(own) == vocabulary.packed(made.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return Tokenizer.from_file(VOCABULARY), vocabulary.word_end_encoder(vocabulary.tokenizer(VOCABULARY, special_as_text=False))
