@@ -12,6 +12,7 @@ side by side.
 
 import re
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from statledger.llm.tables import append_columns
-from statledger.llm.vocabulary import WordIds, piece_bytes, piece_model, token_bytes, tokenizer
+from statledger.llm.tables import append_columns, pieces
+from statledger.llm.vocabulary import (
+    byte_level_encoder,
+    packed,
+    piece_bytes,
+    piece_model,
+    token_bytes,
+    tokenizer,
+)
 from statledger.session import written
 
 # Neither vocabulary has a token over the place before a single space that follows a non-space and
 # comes before a word; U+2581 reads as a space in B.
 _CUT = re.compile(r"(?<=[^ ▁]) (?=\S)")
 _LANE = 64
+_LOT_BYTES = 1 << 19
+# A task's words are numbered anew beyond so many words or ids.
+_MOST_WORDS, _MOST_IDS = 1 << 19, 1 << 23
 
 
 def seek(longer: np.ndarray, values: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -84,12 +95,10 @@ class Aligned:
     group_from: where each text's begin among them.
     """
 
-    def __init__(self, a_ids, b_ids, a_sizes, b_sizes):
-        none = np.zeros(0, np.int64)
-        self.a_ids, self.b_ids = np.concatenate([none, *a_ids]), np.concatenate([none, *b_ids])
-        self.a_from, self.b_from = (np.cumsum([0] + [len(x) for x in ids]) for ids in (a_ids, b_ids))
+    def __init__(self, a_ids, a_from, b_ids, b_from, a_sizes, b_sizes):
+        self.a_ids, self.a_from, self.b_ids, self.b_from = a_ids, a_from, b_ids, b_from
         # Both sides spell the same bytes, so a running sum moves each text behind the one before.
-        self.a_end, self.b_end = np.cumsum(a_sizes[self.a_ids]), np.cumsum(b_sizes[self.b_ids])
+        self.a_end, self.b_end = np.cumsum(a_sizes[a_ids]), np.cumsum(b_sizes[b_ids])
         self._intersect()
 
     def _intersect(self):
@@ -130,55 +139,113 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
+class _Words:
+    """Numbers of words, and the ids of each in one tokenization after the other."""
+
+    def __init__(self, encoders, tables):
+        self.encoders, self.tables = encoders, tables
+        self._empty()
+
+    def _empty(self):
+        self.known, self.spelled = {}, np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int64) for _ in self.encoders]
+        self.first = [np.zeros(1, np.int64) for _ in self.encoders]
+
+    def learn(self, words) -> None:
+        if len(self.known) > _MOST_WORDS or sum(map(len, self.ids)) > _MOST_IDS:
+            self._empty()
+        new = list(set(words).difference(self.known))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        texts = [b" " + word.encode() for word in new]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        right = np.ones(len(new), bool)
+        for side, (encode, table) in enumerate(zip(self.encoders, self.tables, strict=True)):
+            values = encode(new)
+            ids = np.frombuffer(b"".join(values), "<u4").astype(np.int64)
+            ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) // 4)
+            spelled = list(map(table.__getitem__, ids.tolist()))
+            lengths = np.append(0, np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled))))
+            if (np.diff(lengths[ends], prepend=0) != sizes).any() or b"".join(spelled) != b"".join(texts):
+                starts = np.append(0, ends)[:-1]
+                right &= [b"".join(spelled[low:high]) == text for low, high, text in zip(starts, ends, texts, strict=True)]
+            self.first[side] = np.concatenate([self.first[side], self.first[side][-1] + ends])
+            self.ids[side] = np.concatenate([self.ids[side], ids])
+        self.spelled = np.append(self.spelled, right)
+
+    def of(self, numbers: np.ndarray, side: int) -> tuple:
+        """(ids of the numbered words in a row, how many each has)."""
+        starts, ends = self.first[side][numbers], self.first[side][numbers + 1]
+        return self.ids[side][_runs(starts, ends)], ends - starts
+
+
 class Aligner:
     """Both vocabularies, with the words met so far. The first is byte-level BPE, the second BPE pieces."""
 
     def __init__(self, a_path: str, b_path: str):
         a, b = tokenizer(a_path, special_as_text=True), piece_model(b_path)
-        self.a_bytes, self.b_bytes = token_bytes(a), piece_bytes(b)
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.a_words = WordIds(lambda new: [e.ids for e in a.encode_batch([" " + w for w in new], add_special_tokens=False)])
-        self.b_words = WordIds(lambda new: b.encode(new, num_threads=1))
-        self.names = [[f"{k}{mark}".encode() for k in range(len(t))] for t, marks in (
-            (self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks]
-        self.offsets = np.cumsum([0] + [len(n) for n in self.names[:-1]])
-        self.names = [name for names in self.names for name in names]
+        tables = self.a_bytes, self.b_bytes = token_bytes(a), piece_bytes(b)
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in tables)
+        encode = byte_level_encoder(a)
+        self.words = _Words([
+            lambda new: encode([" " + word for word in new]),
+            lambda new: [packed(ids) for ids in b.encode(new, num_threads=1)],
+        ], tables)
+        # Names of ids by what stands behind them: a's within a group, a's last, b's within, b's last.
+        names = [[f"{k}{mark}".encode() for k in range(len(t))] for t, marks in zip(tables, (",|", ",;"), strict=True) for mark in marks]
+        self.offsets = np.cumsum([0] + [len(n) for n in names])
+        self.names = [name for each in names for name in each]
 
     def __call__(self, texts: list) -> Aligned:
         """The texts, as UTF-8 bytes. One that is empty, or that a tokenization doesn't spell, has no tokens."""
         words = [_CUT.split(text.decode(errors="replace")) if text else [] for text in texts]
-        self.a_words.learn(words)
-        self.b_words.learn(words)
-        a_ids, b_ids = ([np.frombuffer(w.of(x), "<u4").astype(np.int64) for x in words] for w in (self.a_words, self.b_words))
-        none = np.zeros(0, np.int64)
-        for k, text in enumerate(texts):
-            if not self._spells(self.a_bytes, a_ids[k], text) or not self._spells(self.b_bytes, b_ids[k], text):
-                a_ids[k] = b_ids[k] = none
-        return Aligned(a_ids, b_ids, self.a_sizes, self.b_sizes)
+        self.words.learn(chain.from_iterable(words))
+        word_from = np.cumsum([0] + list(map(len, words)))
+        numbers = np.fromiter(map(self.words.known.__getitem__, chain.from_iterable(words)), np.int64, word_from[-1])
+        (a_ids, a_count), (b_ids, b_count) = (self.words.of(numbers, side) for side in (0, 1))
+        a_from, b_from = (np.append(0, np.cumsum(count))[word_from] for count in (a_count, b_count))
+        odd = np.append(0, np.cumsum(~self.words.spelled[numbers]))[word_from]
+        for k in np.flatnonzero(np.diff(odd)):
+            sides = (self.a_bytes, a_ids, a_from), (self.b_bytes, b_ids, b_from)
+            if not all(self._spells(table, ids[at[k]:at[k + 1]], texts[k]) for table, ids, at in sides):
+                a_ids, a_from = _without(a_ids, a_from, k)
+                b_ids, b_from = _without(b_ids, b_from, k)
+        return Aligned(a_ids, a_from, b_ids, b_from, self.a_sizes, self.b_sizes)
 
     @staticmethod
     def _spells(table, ids, text):
-        return b"".join(map(table.__getitem__, ids.tolist())) == (b" " + text if text else b"")
-
-    def spelled_groups(self, found: Aligned, k: int) -> bytes:
-        """The text's groups as `a1,a2|b1;a3|b2,b3`, ids in order; empty without tokens."""
-        low, high = found.group_from[k:k + 2]
-        a = self._marked(found.a_ids, found.a_from, found.a_at[low:high], k, 0)
-        b = self._marked(found.b_ids, found.b_from, found.b_at[low:high], k, 2)
+        return b"".join(map(table.__getitem__, ids.tolist())) == b" " + text
+
+    def spelled_groups(self, found: Aligned) -> list:
+        """Each text's groups as `a1,a2|b1;a3|b2,b3`, ids in order; empty without tokens."""
+        a_ends, b_ends = found.a_at + 1, found.b_at + 1
+        a, b = found.a_ids + self.offsets[0], found.b_ids + self.offsets[2]
+        a[found.a_at] += self.offsets[1] - self.offsets[0]
+        b[found.b_at] += self.offsets[3] - self.offsets[2]
         # Each side's tokens stand behind the other side's of the groups before (and, of B, of the same group).
-        a_group = np.searchsorted(found.a_at[low:high], np.arange(found.a_from[k], found.a_from[k + 1]))
-        b_group = np.searchsorted(found.b_at[low:high], np.arange(found.b_from[k], found.b_from[k + 1]))
-        a_ends, b_ends = found.a_at[low:high] + 1 - found.a_from[k], found.b_at[low:high] + 1 - found.b_from[k]
         line = np.empty(len(a) + len(b), np.int64)
-        line[np.arange(len(a)) + np.append(0, b_ends)[a_group]] = a
-        line[np.arange(len(b)) + a_ends[b_group]] = b
-        return b"".join(map(self.names.__getitem__, line.tolist()))[:-1]
+        line[np.arange(len(a)) + np.repeat(np.append(0, b_ends)[:-1], np.diff(a_ends, prepend=0))] = a
+        line[np.arange(len(b)) + np.repeat(a_ends, np.diff(b_ends, prepend=0))] = b
+        names, at = list(map(self.names.__getitem__, line.tolist())), found.a_from + found.b_from
+        return [b"".join(names[low:high])[:-1] for low, high in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+
+def _without(ids, starts, k):
+    """Ids and starts without those of text k."""
+    low, high = starts[k:k + 2]
+    return np.delete(ids, slice(low, high)), np.append(starts[:k + 1], starts[k + 1:] - (high - low))
+
 
-    def _marked(self, ids, starts, at, k, side):
-        """Places in `names` of the text's ids; the last of each group bears the other mark."""
-        own = ids[starts[k]:starts[k + 1]] + self.offsets[side]
-        own[at - starts[k]] += self.offsets[side + 1] - self.offsets[side]
-        return own
+def _lots(texts: list):
+    """The texts in lots of about _LOT_BYTES, longer ones alone."""
+    lot, size = [], 0
+    for text in texts:
+        if lot and size + len(text) > _LOT_BYTES:
+            yield lot
+            lot, size = [], 0
+        lot.append(text)
+        size += len(text)
+    if lot:
+        yield lot
 
 
 def most_pairs(a_path: str, b_path: str) -> int:
@@ -200,6 +267,10 @@ def most_pairs(a_path: str, b_path: str) -> int:
     return same + suffixes
 
 
+def _columns(rows: list, width: int) -> list:
+    return list(map(list, zip(*rows, strict=True))) if rows else [[] for _ in range(width)]
+
+
 _TOKENS = [
     StructField("a_ids", ArrayType(IntegerType())), StructField("b_ids", ArrayType(IntegerType())),
     StructField("groups", ArrayType(StructType([StructField("a_end", IntegerType()), StructField("b_end", IntegerType())]))),
@@ -218,16 +289,17 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def make():
         aligner = Aligner(a_path, b_path)
 
-        def compute(texts):
+        def rows(texts):
             found = aligner(texts)
-            rows = []
             for k in range(len(texts)):
                 (a, a_end), (b, b_end), (low, high) = found.a_from[k:k + 2], found.b_from[k:k + 2], found.group_from[k:k + 2]
                 groups = zip((found.a_at[low:high] - a).tolist(), (found.b_at[low:high] - b).tolist(), strict=True)
-                rows.append((found.a_ids[a:a_end].tolist(), found.b_ids[b:b_end].tolist(),
-                             [{"a_end": x, "b_end": y} for x, y in groups], "a" if found.a_drives[k] else "b",
-                             [{"first": x, "last": y} for x, y in found.overlaps(k)]))
-            return list(map(list, zip(*rows, strict=True))) if rows else [[]] * len(_TOKENS)
+                yield (found.a_ids[a:a_end].tolist(), found.b_ids[b:b_end].tolist(),
+                       [{"a_end": x, "b_end": y} for x, y in groups], "a" if found.a_drives[k] else "b",
+                       [{"first": x, "last": y} for x, y in found.overlaps(k)])
+
+        def compute(texts):
+            return _columns([row for lot in _lots(texts) for row in rows(lot)], len(_TOKENS))
 
         return compute
 
@@ -235,42 +307,57 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 _COUNTS = [StructField(name, LongType()) for name in ("n_a", "n_b", "n_groups", "n_links")]
-_PAIR_BITS = 32
+
+
+class Pairs:
+    """Id pairs as single numbers: a id times the ids of B, plus b id, in 4 or 8 bytes."""
+
+    def __init__(self, a_path: str, b_path: str):
+        a_ids, self.b_ids = tokenizer(a_path, special_as_text=True).get_vocab_size(), piece_model(b_path).vocab_size()
+        self.kind = "<u4" if a_ids * self.b_ids <= 1 << 32 else "<u8"
+
+    def packed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * self.b_ids + b).astype(self.kind)
+
+    def read(self, data: list) -> np.ndarray:
+        return np.frombuffer(b"".join(data), self.kind)
 
 
 def links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, the counts of tokens, groups and links, groups_sha256, and the links: (a id, b id) of all
-    tokens that end together, as little-endian 8-byte numbers a << 32 | b in their order."""
+    """doc_id, the counts of tokens, groups and links, groups_sha256, and the links: the Pairs of all
+    tokens that end together, in their order."""
+    numbers = Pairs(a_path, b_path)
+    width = np.dtype(numbers.kind).itemsize
+    fields = [*_COUNTS, StructField("groups_sha256", StringType()), StructField("links", BinaryType())]
+
     def make():
         aligner = Aligner(a_path, b_path)
 
-        def compute(texts):
+        def rows(texts):
             found = aligner(texts)
-            pairs = ((found.a_ids[found.a_at] << _PAIR_BITS) | found.b_ids[found.b_at]).astype("<i8")
-            groups = np.diff(found.group_from)
-            spelled = [aligner.spelled_groups(found, k) for k in range(len(texts))]
-            return [
-                np.diff(found.a_from), np.diff(found.b_from), groups, groups,
-                [sha256(s).hexdigest() if s else "" for s in spelled],
-                [pairs[low:high].tobytes() for low, high in zip(found.group_from, found.group_from[1:], strict=False)],
-            ]
+            pairs = numbers.packed(found.a_ids[found.a_at], found.b_ids[found.b_at]).tobytes()
+            at = found.group_from.tolist()
+            for k, spelled in enumerate(aligner.spelled_groups(found)):
+                groups = at[k + 1] - at[k]
+                yield (int(found.a_from[k + 1] - found.a_from[k]), int(found.b_from[k + 1] - found.b_from[k]), groups, groups,
+                       sha256(spelled).hexdigest() if spelled else "", pairs[width * at[k]:width * at[k + 1]])
+
+        def compute(texts):
+            return _columns([row for lot in _lots(texts) for row in rows(lot)], len(fields))
 
         return compute
 
-    fields = [*_COUNTS, StructField("groups_sha256", StringType()), StructField("links", BinaryType())]
     return append_columns(docs.select("doc_id", "text"), ["text"], fields, make).drop("text")
 
 
-def pair_counts(linked: DataFrame) -> DataFrame:
+def pair_counts(linked: DataFrame, numbers: Pairs) -> DataFrame:
     """pair, n: how often each pair of ids is linked in the whole table."""
     def run(batches):
         held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            new = np.frombuffer(b"".join(batch.column("links").to_pylist()), "<i8")
-            if len(new):
-                new, n = np.unique(new, return_counts=True)
-                held, where = np.unique(np.append(held, new), return_inverse=True)
-                counts = np.bincount(where, np.append(counts, n)).astype(np.int64)
+        for batch in pieces(batches, "links"):
+            new, n = np.unique(numbers.read(batch.column("links").to_pylist()), return_counts=True)
+            held, where = np.unique(np.append(held, new.astype(np.int64)), return_inverse=True)
+            counts = np.bincount(where, np.append(counts, n), minlength=len(held)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], ["pair", "n"])
 
     summed = linked.select("links").mapInArrow(run, "pair long, n long")
@@ -287,22 +374,23 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """
     linked = written(links(docs, a_path, b_path), "links")
     # At most most_pairs(a, b) rows, some hundred thousand, whatever the size of the table.
-    rows = pair_counts(linked).toArrow()
+    numbers = Pairs(a_path, b_path)
+    rows = pair_counts(linked, numbers).toArrow()
     pairs, counts = (rows.column(name).to_numpy().astype(np.int64) for name in ("pair", "n"))
     order = np.argsort(pairs)
     pairs, counts = pairs[order], counts[order]
-    b = pairs & ((1 << _PAIR_BITS) - 1)
-    highest = np.zeros(int(b.max()) + 1 if len(b) else 0, np.int64)
+    b = pairs % numbers.b_ids
+    highest = np.zeros(numbers.b_ids, np.int64)
     np.maximum.at(highest, b, counts)
-    shared = docs.sparkSession.sparkContext.broadcast((pairs, counts, counts == highest[b]))
+    shared = docs.sparkSession.sparkContext.broadcast((pairs.astype(numbers.kind), counts, counts == highest[b]))
+    width = np.dtype(numbers.kind).itemsize
 
     def make():
         pairs, counts, best = shared.value
 
         def compute(linked):
-            own = np.frombuffer(b"".join(linked), "<i8")
-            starts = np.cumsum([0] + [len(x) // 8 for x in linked])
-            at = np.searchsorted(pairs, own)
+            starts = np.cumsum([0] + [len(x) // width for x in linked])
+            at = np.searchsorted(pairs, numbers.read(linked))
             return [np.diff(np.append(0, np.cumsum(values[at]))[starts]) for values in (best.astype(np.int64), counts)]
 
         return compute

@@ -58,11 +58,12 @@ def pieces(batches, name: str, most: int = PIECE_BYTES):
     """The batches cut by rows into pieces of about `most` bytes in the named column.
 
     What a task holds of texts as Python values then doesn't depend on Spark's batches. A
-    text longer than that is a piece of its own, whole; columns without text stay as they are.
+    text longer than that is a piece of its own, whole; columns without text or bytes stay as they are.
     """
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(name))
-        if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        if not any(test(column.type) for test in (
+                pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
             yield batch
             continue
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
