@@ -58,8 +58,3 @@ def fill_rates(df: DataFrame, by: list, columns: list, moment: str) -> DataFrame
         F.max(moment).alias("last_moment"),
     )
 
-
-def off_season(games: DataFrame, day: str = "game_date") -> DataFrame:
-    """Games of July to September, whose season label by date is doubtful: a season
-    that ran late counts them to the next one."""
-    return games.where(F.month(day).isin(7, 8, 9))

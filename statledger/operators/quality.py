@@ -1,6 +1,6 @@
 """Constraints as violation reports and as a fail-fast gate."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def duplicate_keys(df: DataFrame, keys: list) -> DataFrame:
@@ -35,21 +35,23 @@ def orphans(df: DataFrame, column: str, parent: DataFrame, key: str) -> DataFram
     return counted.join(parent.select(F.col(key).alias(column)), column, "left_anti")
 
 
-def enforce(df: DataFrame, not_null: list, checks: dict, table: str, where=None) -> DataFrame:
-    """Fails the job that consumes the frame if any row breaks a constraint.
+def broken_rule(not_null: list, checks: dict, table: str) -> Column:
+    """What is wrong with a row, NULL for a good one; a check that is NULL passes."""
+    broken = [F.when(F.col(name).isNull(), F.lit(f"{table}.{name} is NULL")) for name in not_null]
+    broken += [F.when(~F.expr(rule), F.lit(f"{table} violates {name}")) for name, rule in checks.items()]
+    return F.coalesce(*broken, F.lit(None).cast("string"))
+
+
+def enforce(df: DataFrame, message: Column, where: Column = None) -> DataFrame:
+    """Fails the job that consumes the frame if any row has a message of broken_rule.
 
     `where` limits the test to the rows that are to enter the table.
 
     The test is a filter that keeps every good row: it costs no pass of its own, stays
     whatever columns are read, and nothing of a bad batch is published.
     """
-    broken = [F.when(F.col(name).isNull(), F.lit(f"{table}.{name} is NULL")) for name in not_null]
-    broken += [
-        F.when(~F.expr(rule), F.lit(f"{table} violates {name}")) for name, rule in checks.items()
-    ]
-    message = F.coalesce(*broken)
-    broken_row = message.isNotNull() if where is None else where & message.isNotNull()
-    return df.where(F.when(broken_row, F.raise_error(message).cast("boolean")).otherwise(True))
+    broken = message.isNotNull() if where is None else where & message.isNotNull()
+    return df.where(F.when(broken, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def _as_rows(counts: DataFrame, names: list, label: str, value: str) -> DataFrame:

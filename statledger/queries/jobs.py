@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from statledger.operators.dedupe import ORDINAL
-from statledger.operators.reshape import stack_sources
 from statledger.plans import clean
 from statledger.queries.registry import query
 from statledger.queries.tables import (
@@ -214,12 +213,12 @@ def q_clean_feed_fact(spark, sf_dir):
     return _minutes_as_double(clean.clean_feed_player_stats(feed_lines(spark, sf_dir, "l_suppkey")))
 
 
-def feed_lines(spark, sf_dir, team):
-    """lineitem as player rows of the feed, with the given column as the team."""
+def feed_lines(spark, sf_dir, team, *more):
+    """lineitem as player rows of the feed, with the given column as the team, and more columns."""
     return load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("gameId"), F.col("l_partkey").alias("personId"),
         F.col(team).cast("bigint").alias("teamId"), duration_text().alias("minutes"),
-        *[column.alias(name) for name, column in _stats().items()], line_order(),
+        *[column.alias(name) for name, column in _stats().items()], line_order(), *more,
     )
 
 
@@ -265,12 +264,15 @@ def q_players_backfill(spark, sf_dir):
     return clean.clean_players_backfill(raw)
 
 
-def _old_events(spark, sf_dir):
+_CUT = "2024-01-15"
+
+
+def old_events(spark, sf_dir, until=_CUT):
     """Events before the cut in the shape of the older log: one per user and hour."""
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("bigint")
     return load(spark, sf_dir, "events").where(
-        F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+        F.col("ts") < F.lit(until).cast("timestamp_ntz")
     ).select(
         F.col("user_id").cast("string").alias("game_id"),
         (F.dayofmonth("ts") * 24 + F.hour("ts")).alias("eventnum"),
@@ -290,13 +292,13 @@ def _old_events(spark, sf_dir):
     )
 
 
-def _new_events(spark, sf_dir):
+def new_events(spark, sf_dir, since=_CUT):
     """Events from the cut on in the shape of the newer log."""
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k")
     whole = F.floor("value").cast("string")
     return load(spark, sf_dir, "events").where(
-        F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")
+        F.col("ts") >= F.lit(since).cast("timestamp_ntz")
     ).select(
         F.col("user_id").cast("string").alias("gameId"),
         F.when(kind != "click", (F.dayofmonth("ts") * 24 + F.hour("ts")).cast("double")).alias("orderNumber"),
@@ -318,7 +320,10 @@ def _new_events(spark, sf_dir):
 
 _SQL_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
 _SQL_V = "CAST(floor(value) AS INT)"
-_SQL_OLD = f"""
+
+
+def sql_old_events(until=_CUT):
+    return f"""
     SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS nba_game_id, day(ts) * 24 + hour(ts) AS sequence,
            CAST(hour(ts) // 6 + 1 AS SMALLINT) AS period, hour(ts) || ':00' AS clock,
            CASE event_type WHEN 'click' THEN 'Made Shot' WHEN 'view' THEN 'Missed Shot' WHEN 'purchase' THEN 'Turnover'
@@ -332,10 +337,13 @@ _SQL_OLD = f"""
            CASE event_type WHEN 'error' THEN 5 WHEN 'signup' THEN NULL ELSE {_SQL_K} END AS score_away,
            CAST(NULL AS DOUBLE) AS shot_x, CAST(NULL AS DOUBLE) AS shot_y, CAST(NULL AS INT) AS shot_distance,
            CAST(NULL AS BOOLEAN) AS shot_made
-    FROM events WHERE ts < TIMESTAMP '2024-01-15'
+    FROM events WHERE ts < TIMESTAMP '{until}'
     QUALIFY row_number() OVER (PARTITION BY user_id, day(ts) * 24 + hour(ts) ORDER BY ts DESC, event_id DESC) = 1"""
 _SQL_SEQUENCE = "CASE WHEN event_type = 'click' THEN day(ts) * 24 ELSE day(ts) * 24 + hour(ts) END"
-_SQL_NEW = f"""
+
+
+def sql_new_events(since=_CUT):
+    return f"""
     SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS nba_game_id, {_SQL_SEQUENCE} AS sequence,
            CAST(hour(ts) // 6 + 1 AS SMALLINT) AS period, 'PT08M15.00S' AS clock,
            CASE WHEN event_type IN ('error', 'signup') THEN 'Unknown' ELSE event_type END AS event_type,
@@ -348,7 +356,7 @@ _SQL_NEW = f"""
            {_int('value')} AS score_home, {_int('value / 2')} AS score_away,
            CAST({_SQL_V} AS DOUBLE) / 4 AS shot_x, CAST(NULL AS DOUBLE) AS shot_y, {_SQL_V} AS shot_distance,
            CASE event_type WHEN 'click' THEN TRUE WHEN 'view' THEN FALSE END AS shot_made
-    FROM events WHERE ts >= TIMESTAMP '2024-01-15'
+    FROM events WHERE ts >= TIMESTAMP '{since}'
     QUALIFY row_number() OVER (PARTITION BY user_id, {_SQL_SEQUENCE} ORDER BY ts DESC, event_id DESC) = 1"""
 
 
@@ -356,20 +364,18 @@ def _events_for_compare(rows):
     return rows.withColumns({name: F.col(name).cast("double") for name in ("shot_x", "shot_y")})
 
 
-@query("q_clean_old_events", _SQL_OLD)
-def q_clean_old_events(spark, sf_dir):
-    return _events_for_compare(clean.clean_old_events(_old_events(spark, sf_dir)))
+@query("q_clean_old_events", sql_old_events())
+def q_cleanold_events(spark, sf_dir):
+    return _events_for_compare(clean.clean_old_events(old_events(spark, sf_dir)))
 
 
-@query("q_clean_new_events", _SQL_NEW)
-def q_clean_new_events(spark, sf_dir):
-    return _events_for_compare(clean.clean_new_events(_new_events(spark, sf_dir)))
+@query("q_clean_new_events", sql_new_events())
+def q_cleannew_events(spark, sf_dir):
+    return _events_for_compare(clean.clean_new_events(new_events(spark, sf_dir)))
 
 
-@query("q_clean_events", f"SELECT * FROM ({_SQL_OLD}) UNION ALL SELECT * FROM ({_SQL_NEW})")
+@query("q_clean_events", f"SELECT * FROM ({sql_old_events()}) UNION ALL SELECT * FROM ({sql_new_events()})")
 def q_clean_events(spark, sf_dir):
     """Both logs in one contract."""
-    return _events_for_compare(stack_sources(
-        clean.clean_old_events(_old_events(spark, sf_dir)),
-        clean.clean_new_events(_new_events(spark, sf_dir)),
-    ))
+    old, new = clean.clean_old_events(old_events(spark, sf_dir)), clean.clean_new_events(new_events(spark, sf_dir))
+    return _events_for_compare(old.unionByName(new))

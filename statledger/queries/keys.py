@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from statledger.operators.dedupe import ORDINAL, keep_last
 from statledger.operators.filters import distinct_opponents, fill_from_lookup, new_keys, with_valid_keys
-from statledger.operators.resolve import Reference, resolved
+from statledger.operators.resolve import UNRESOLVED, Reference, with_references
 from statledger.plans.clean import team_name_lookup
 from statledger.queries.registry import query
 from statledger.queries.tables import (
@@ -101,6 +101,12 @@ def q_lookup_fill(spark, sf_dir):
     )
 
 
+def _resolved(rows, references, row=None):
+    """The rows that a load would insert."""
+    checked = with_references(rows, references, row)
+    return checked.where(F.size(UNRESOLVED) == 0).drop(UNRESOLVED)
+
+
 @query("q_resolve_inner", """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice,
            o_orderstatus AS game_status, c.n_name AS home_name, s.n_name AS away_name
@@ -114,19 +120,22 @@ def q_lookup_fill(spark, sf_dir):
 def q_resolve_inner(spark, sf_dir):
     """Lines with all required keys; the nation dimension is used in two roles."""
     nations = load(spark, sf_dir, "nation").where(F.col("n_regionkey") <= 2)
-    rows = resolved(load(spark, sf_dir, "lineitem"), [
+    lines = _resolved(load(spark, sf_dir, "lineitem"), [
         Reference("l_partkey", load(spark, sf_dir, "part").where(F.col("p_size") > 5), "p_partkey"),
         Reference(
             "l_suppkey", load(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0), "s_suppkey",
             carry={"s_nationkey": "away"},
         ),
-        Reference("away", nations, "n_nationkey", carry={"n_name": "away_name"}),
         Reference(
             "l_orderkey", load(spark, sf_dir, "orders"), "o_orderkey",
             carry={"o_orderstatus": "game_status", "o_custkey": "custkey"},
         ),
+    ])
+    rows = _resolved(_resolved(lines, [
         Reference("custkey", load(spark, sf_dir, "customer"), "c_custkey", carry={"c_nationkey": "home"}),
+    ]), [
         Reference("home", nations, "n_nationkey", carry={"n_name": "home_name"}),
+        Reference("away", nations, "n_nationkey", carry={"n_name": "away_name"}),
     ])
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
@@ -153,11 +162,11 @@ def q_resolve_left(spark, sf_dir):
         F.col("user_id").alias("player3_id"), k.cast("int").alias("team_id"),
     )
     players = load(spark, sf_dir, "supplier")
-    return resolved(rows, [
+    return _resolved(rows, [
         Reference("game_id", load(spark, sf_dir, "customer").where(F.col("c_acctbal") > 1000), "c_custkey"),
         *[
             Reference(slot, players, "s_suppkey", required=False)
             for slot in ("player_id", "player2_id", "player3_id")
         ],
         Reference("team_id", load(spark, sf_dir, "nation"), "n_nationkey", required=False),
-    ])
+    ], "event_id")

@@ -3,12 +3,18 @@
 from pyspark.sql import functions as F
 
 from statledger.operators.audit import season_spans
-from statledger.operators.merge import classify, insert_if_absent, load_report, widen_ranges
-from statledger.operators.resolve import Reference, with_references
+from statledger.operators.merge import INSERTED, OUTCOME, classify, load_report, widen_ranges
+from statledger.operators.resolve import UNRESOLVED, Reference, with_references
 from statledger.queries.registry import query
 from statledger.queries.tables import SQL_GAMES, games, load
 
 
+def _absent(existing, staged, keys):
+    """The staged rows that a load would insert."""
+    outcome = classify(with_references(staged, []), existing, keys)
+    return outcome.where(F.col(OUTCOME) == INSERTED).drop(OUTCOME, UNRESOLVED)
+
+
 @query("q_insert_if_absent", """
     SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders
     WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
@@ -18,7 +24,7 @@ def q_insert_if_absent(spark, sf_dir):
         F.col("l_orderkey").alias("o_orderkey")
     )
     staged = load(spark, sf_dir, "orders").drop("o_orderpriority")
-    return insert_if_absent(existing, staged, ["o_orderkey"])
+    return _absent(existing, staged, ["o_orderkey"])
 
 
 @query("q_merge_first_wins", """
@@ -40,7 +46,7 @@ def q_merge_first_wins(spark, sf_dir):
         .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount"))
         .select("game_id", F.lit("lineitem").alias("source"), "amount")
     )
-    return first.unionByName(insert_if_absent(first, second, ["game_id"]))
+    return first.unionByName(_absent(first, second, ["game_id"]))
 
 
 @query("q_widen_upsert", f"""

@@ -1,10 +1,13 @@
 """Constraint reports."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from statledger.operators.quality import check_violations, duplicate_keys, enforce, null_counts, orphans
+from statledger.operators.quality import broken_rule, check_violations, duplicate_keys, enforce, null_counts, orphans
 from statledger.queries.registry import query
 from statledger.queries.tables import load
+from statledger.session import new_path
 
 
 @query("q_dq_unique", """
@@ -61,8 +64,35 @@ def q_dq_orphans(spark, sf_dir):
 
 
 @query("q_dq_gate", """
-    SELECT o_orderkey, o_custkey, o_totalprice FROM orders""")
+    WITH batches AS (
+      SELECT o_orderstatus AS batch, CASE WHEN o_orderstatus <> 'F' OR o_custkey % 7 <> 0 THEN o_custkey END AS player,
+             CASE WHEN o_orderstatus = 'P' AND o_orderkey % 5 = 0 THEN -o_totalprice ELSE o_totalprice END AS price
+      FROM orders),
+    checked AS (
+      SELECT batch, count(*) AS n, count(*) FILTER (player IS NULL) AS nulls, count(*) FILTER (price < 0) AS negative
+      FROM batches GROUP BY batch)
+    SELECT batch, CASE WHEN nulls > 0 THEN 'orders.player is NULL' WHEN negative > 0 THEN 'orders violates price_nonneg' END AS stopped_by,
+           CASE WHEN nulls + negative = 0 THEN n ELSE 0 END AS n_loaded
+    FROM checked""")
 def q_dq_gate(spark, sf_dir):
-    """The fail-fast gate over a batch without violations: every row passes."""
-    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return enforce(rows, ["o_orderkey", "o_custkey"], {"price_nonneg": "o_totalprice >= 0"}, "orders")
+    """The fail-fast gate over three batches: one without violations, one with missing keys, one with bad values.
+
+    A batch is written as a load writes it; of one that the gate stops nothing is to be read.
+    """
+    status, price = F.col("o_orderstatus"), F.col("o_totalprice")
+    rows = load(spark, sf_dir, "orders").select(
+        status.alias("batch"), F.when((status != "F") | (F.col("o_custkey") % 7 != 0), F.col("o_custkey")).alias("player"),
+        F.when((status == "P") & (F.col("o_orderkey") % 5 == 0), -price).otherwise(price).alias("price"),
+    )
+    rule = broken_rule(["player"], {"price_nonneg": "price >= 0"}, "orders")
+    results = []
+    for batch in [r["batch"] for r in rows.select("batch").distinct().collect()]:
+        path = new_path(spark, "gate")
+        message = None
+        try:
+            enforce(rows.where(F.col("batch") == batch), rule).write.parquet(path)
+        except Exception as error:
+            message = re.search(r"orders(\.\w+ is NULL| violates \w+)", str(error)).group()
+        loaded = spark.read.schema(rows.schema).parquet(path).count()
+        results.append((batch, message, loaded))
+    return spark.createDataFrame(results, "batch string, stopped_by string, n_loaded bigint")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from statledger.operators.reshape import add_nulls, stack_sources
+from statledger.operators.reshape import add_nulls
 from statledger.plans.clean import clean_teams
 from statledger.operators.dedupe import ORDINAL
 from statledger.queries.registry import query
@@ -88,4 +88,4 @@ def q_union_sources(spark, sf_dir):
         "event_id", "ts", F.upper("event_type").alias("event_type"), "value", F.lit("new").alias("era")
     )
     old = add_nulls(old, {"value": "double"}).withColumn("era", F.lit("old"))
-    return stack_sources(old, new)
+    return old.unionByName(new)

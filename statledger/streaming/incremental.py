@@ -2,8 +2,9 @@
 
 The file sources remember which files they have read, and every merge inserts only
 what is absent, so a micro-batch that runs twice changes nothing. A row that cannot
-be placed yet waits in a pending table: a team row until the other side of its game
-lands, a player row until its game is loaded.
+be placed yet waits: a team row until the other side of its game lands, a player row
+until its game is loaded. A micro-batch reads the waiting rows of its own games and
+writes the rows that begin to wait; what it costs depends on its own rows alone.
 """
 
 import os
@@ -16,10 +17,10 @@ from statledger.plans.warehouse import Warehouse
 from statledger.session import shared_folder, written
 from statledger.sources.feed import stream_feed, with_ordinal
 from statledger.sources.layouts import FEED_PLAYER_ROWS, FEED_TEAM_ROWS
+from statledger.streaming.waiting import GAME, WaitingRows, of_placed
 
 PENDING_TEAM_ROWS = "pending_team_rows"
 PENDING_PLAYER_ROWS = "pending_player_rows"
-_GAME = "_game_id"
 
 
 def sync_stream(warehouse: Warehouse, feed_dir: str, max_files: int = None) -> None:
@@ -37,9 +38,9 @@ def sync_stream(warehouse: Warehouse, feed_dir: str, max_files: int = None) -> N
         return on_batch
 
     _drain(warehouse, feed_dir, FEED_TEAM_ROWS, merge(merge_team_rows), max_files)
+    # Games of this run, or of another load, may have arrived after player rows of an earlier one.
+    release_player_rows(warehouse)
     _drain(warehouse, feed_dir, FEED_PLAYER_ROWS, merge(merge_player_rows), max_files)
-    # Games of this run may have arrived after player rows of an earlier one.
-    merge_player_rows(warehouse, None)
 
 
 def _drain(warehouse: Warehouse, feed_dir: str, layout, on_batch, max_files) -> None:
@@ -56,56 +57,53 @@ def _drain(warehouse: Warehouse, feed_dir: str, layout, on_batch, max_files) ->
     query.awaitTermination()
 
 
-def _with_pending(warehouse: Warehouse, batch: DataFrame, table: str, game: str) -> DataFrame:
-    """The batch and the rows that wait, settled in files; None if there are neither."""
-    frames = [] if batch is None else [batch]
-    if warehouse.exists(table):
-        frames.append(warehouse.table(table))
-    if not frames:
-        return None
-    rows = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-    return written(rows.withColumn(_GAME, pad_id(F.col(game))), table)
+def _landed(batch: DataFrame, game: str, name: str) -> DataFrame:
+    """The batch with its games' ids, settled in files."""
+    return written(batch.withColumn(GAME, pad_id(F.col(game))), name)
 
 
-def _placed_and_waiting(rows: DataFrame, placed: DataFrame) -> tuple:
-    """The rows of placed games and those of games still to come; every row is in one of them.
+def _games_of(rows: DataFrame) -> DataFrame:
+    return rows.select(GAME).where(F.col(GAME).isNotNull()).distinct()
 
-    A row without a game can't be placed later either, so it goes on to the rejects.
-    """
-    known = placed.distinct().withColumn("_placed", F.lit(True))
-    marked = written(rows.join(known, _GAME, "left"), "placed")
-    waits = F.col("_placed").isNull() & F.col(_GAME).isNotNull()
-    return marked.where(~waits).drop("_placed"), marked.where(waits).drop("_placed")
-
-
-def _known_games(warehouse: Warehouse) -> DataFrame:
-    return warehouse.table("games").select(F.col("nba_game_id").alias(_GAME))
 
-
-def _keep_pending(warehouse: Warehouse, table: str, rows: DataFrame) -> None:
-    warehouse.publish(table, rows.drop(_GAME))
+def known_games(warehouse: Warehouse) -> DataFrame:
+    return warehouse.table("games").select(F.col("nba_game_id").alias(GAME))
 
 
 def merge_team_rows(warehouse: Warehouse, batch: DataFrame) -> None:
-    """Games and team lines of the batch and of the rows that waited for it."""
-    rows = _with_pending(warehouse, batch, PENDING_TEAM_ROWS, "GAME_ID")
-    if rows is None:
-        return
-    games = written(clean.clean_feed_games(rows), "games")
+    """Games and team lines of the batch, with the rows that waited for the same games."""
+    rows = _landed(batch, "GAME_ID", "team-rows")
+    named = _games_of(rows)
+    waiting = WaitingRows(warehouse, PENDING_TEAM_ROWS)
+    earlier = waiting.of_games(named)
+    both = rows if earlier is None else rows.unionByName(earlier)
+    games = written(clean.clean_feed_games(both), "games")
     load.load_seasons_widen(warehouse, clean.clean_seasons(games))
     load.load_games(warehouse, games)
     # A pair that cannot be resolved is among the rejects and need not wait.
-    placed = games.select(F.col("nba_game_id").alias(_GAME)).unionByName(_known_games(warehouse))
-    ready, waiting = _placed_and_waiting(rows, placed)
-    load.load_team_game_stats(warehouse, clean.clean_feed_team_stats(ready))
-    _keep_pending(warehouse, PENDING_TEAM_ROWS, waiting)
+    paired = games.select(F.col("nba_game_id").alias(GAME))
+    placed = written(named.join(paired.unionByName(known_games(warehouse)), GAME, "left_semi"), "placed")
+    load.load_team_game_stats(warehouse, clean.clean_feed_team_stats(of_placed(both, placed, True)))
+    waiting.add(of_placed(rows, placed, False))
+    if earlier is not None:
+        waiting.release(written(_games_of(earlier).join(placed, GAME, "left_semi"), "released"))
 
 
 def merge_player_rows(warehouse: Warehouse, batch: DataFrame) -> None:
-    """Player lines of loaded games, from the batch and from the rows that waited."""
-    rows = _with_pending(warehouse, batch, PENDING_PLAYER_ROWS, "gameId")
-    if rows is None:
+    """Player lines of loaded games; the batch's other rows wait."""
+    rows = _landed(batch, "gameId", "player-rows")
+    placed = written(_games_of(rows).join(known_games(warehouse), GAME, "left_semi"), "placed")
+    load.load_player_game_stats(warehouse, clean.clean_feed_player_stats(of_placed(rows, placed, True)))
+    WaitingRows(warehouse, PENDING_PLAYER_ROWS).add(of_placed(rows, placed, False))
+
+
+def release_player_rows(warehouse: Warehouse) -> None:
+    """Player lines that waited for games which are there by now."""
+    waiting = WaitingRows(warehouse, PENDING_PLAYER_ROWS)
+    games = waiting.games()
+    if games is None:
         return
-    ready, waiting = _placed_and_waiting(rows, _known_games(warehouse))
-    load.load_player_game_stats(warehouse, clean.clean_feed_player_stats(ready))
-    _keep_pending(warehouse, PENDING_PLAYER_ROWS, waiting)
+    placed = written(games.join(known_games(warehouse), GAME, "left_semi"), "released")
+    if not placed.isEmpty():
+        load.load_player_game_stats(warehouse, clean.clean_feed_player_stats(waiting.of_games(placed)))
+        waiting.release(placed)

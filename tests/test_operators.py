@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from statledger.operators.audit import coverage, coverage_gaps, fill_rates, season_spans
 from statledger.operators.dedupe import ORDINAL, keep_last
 from statledger.operators.filters import distinct_opponents, fill_from_lookup, new_keys
-from statledger.operators.merge import classify, insert_if_absent, load_report, widen_ranges
+from statledger.operators.merge import classify, load_report, widen_ranges
 from statledger.operators.quality import (
-    check_violations, duplicate_keys, enforce, null_counts, orphans,
+    broken_rule, check_violations, duplicate_keys, enforce, null_counts, orphans,
 )
 from statledger.operators.reshape import pair_sides, sides_to_rows
-from statledger.operators.resolve import UNRESOLVED, Reference, resolved, with_references
+from statledger.operators.resolve import UNRESOLVED, Reference, with_references
 from statledger.operators.windows import rolling_average
 
 
@@ -95,7 +95,6 @@ def test_references(spark, dims):
         Reference("p", players, "id"),
         Reference("q", players, "id", required=False),
     ]
-    assert tuples(resolved(rows, references)) == [("g1", 1, 2, "s1"), ("g2", 1, None, "s2")]
     everything = tuples(with_references(rows, references))
     assert everything == [
         ("g1", None, None, "s1", ["p"]), ("g1", 1, 2, "s1", []),
@@ -106,9 +105,30 @@ def test_references(spark, dims):
 def test_merge_laws(spark):
     a = spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string")
     b = spark.createDataFrame([(2, "b"), (3, "b")], "k int, v string")
-    once = a.unionByName(insert_if_absent(a, b, ["k"]))
+
+    def merged(existing, staged):
+        new = classify(with_references(staged, []), existing, ["k"]).where("outcome = 'inserted'")
+        return existing.unionByName(new.select(existing.columns))
+
+    once = merged(a, b)
     assert tuples(once) == [(1, "a"), (2, "a"), (3, "b")]
-    assert insert_if_absent(once, b, ["k"]).isEmpty()
+    assert tuples(merged(once, b)) == tuples(once)
+
+
+def test_many_slots_of_one_dimension_are_one_join(spark, dims, no_broadcast):
+    games, players = dims
+    rows = spark.createDataFrame(
+        [(0, "g1", 1, 2, 1), (1, "g1", None, 9, 2), (2, "g9", None, None, None), (3, None, 1, 1, 1), (4, "g2", 9, 8, 7)],
+        "row long, g string, a int, b int, c int")
+    references = [Reference("g", games, "id", carry={"season": "season_label"})] + [
+        Reference(slot, players, "id", required=False) for slot in "abc"]
+    found = with_references(rows, references, "row")
+    assert tuples(found) == [
+        (0, "g1", 1, 2, 1, "s1", []), (1, "g1", None, None, 2, "s1", []), (2, "g9", None, None, None, None, ["g"]),
+        (3, None, 1, 1, 1, None, ["g"]), (4, "g2", None, None, None, "s2", [])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 1
+    needed = with_references(rows, [Reference(slot, players, "id") for slot in "ab"], "row")
+    assert [r["_unresolved"] for r in needed.orderBy("row").collect()] == [[], ["a", "b"], ["a", "b"], [], ["a", "b"]]
 
 
 def test_widen_is_commutative_and_ignores_nulls(spark):
@@ -201,16 +221,16 @@ def test_quality_reports(spark):
 
 def test_enforce_stops_the_job(spark):
     rows = spark.createDataFrame([(1, 5), (2, None)], "k int, points int")
-    checks = {"points_nonneg": "points >= 0"}
-    assert enforce(rows, ["k"], checks, "t").count() == 2
-    assert tuples(enforce(rows, ["k"], checks, "t")) == [(1, 5), (2, None)]
+    rule = broken_rule(["k"], {"points_nonneg": "points >= 0"}, "t")
+    assert enforce(rows, rule).count() == 2
+    assert tuples(enforce(rows, rule)) == [(1, 5), (2, None)]
     for bad in ([(1, -1)], [(None, 1)]):
         frame = spark.createDataFrame(bad, "k int, points int")
         with pytest.raises(Exception, match="t violates points_nonneg|t.k is NULL"):
-            enforce(frame, ["k"], checks, "t").collect()
+            enforce(frame, rule).collect()
         with pytest.raises(Exception, match="t violates points_nonneg|t.k is NULL"):
-            enforce(frame, ["k"], checks, "t").select(F.lit(1)).collect()
-        assert len(enforce(frame, ["k"], checks, "t", where=F.lit(False)).collect()) == 1
+            enforce(frame, rule).select(F.lit(1)).collect()
+        assert len(enforce(frame, rule, where=F.lit(False)).collect()) == 1
 
 
 def test_audits(spark):
