@@ -98,12 +98,12 @@ def with_derived_metrics(stats: DataFrame) -> DataFrame:
     })
 
 
-def rolling_player_average(stats: DataFrame, games: DataFrame, value: str, n_games: int, **limits) -> DataFrame:
+def rolling_player_average(stats: DataFrame, games: DataFrame, value: str, n_games: int, ranges: int = None) -> DataFrame:
     """Average of a stat over each player's last n games of the same game type."""
     dated = stats.join(
         games.select(F.col("nba_game_id").alias("game_id"), "game_date", "game_type"), "game_id"
     )
     return rolling_average(
         dated, ["player_id", "game_type"], "game_date", "game_id", value, n_games,
-        f"avg_{value}_last_{n_games}", **limits,
+        f"avg_{value}_last_{n_games}", ranges,
     )

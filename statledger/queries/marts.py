@@ -86,14 +86,30 @@ def q_derived_metrics(spark, sf_dir):
           WINDOW w AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey
                        ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))""")
 def q_rolling_avg(spark, sf_dir):
+    """Averages of each customer's last five orders; the ranges cut groups, which the carried rows make whole."""
     rows = load(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderkey", day("o_orderdate").alias("o_orderdate_day"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
     )
     rolled = rolling_average(
-        rows, ["o_custkey"], "o_orderdate_day", "o_orderkey", "cents", 5, "avg_cents"
+        rows, ["o_custkey"], "o_orderdate_day", "o_orderkey", "cents", 5, "avg_cents", ranges=32
     )
     return rolled.select(
         "o_custkey", "o_orderkey", "o_orderdate_day",
         (F.col("avg_cents") / 100).alias("avg_last_5"),
     )
+
+
+@query("q_rolling_hot_day", """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(s AS DOUBLE) / 100 / n AS avg_last_7
+    FROM (SELECT *, sum(cents) OVER w AS s, count(cents) OVER w AS n
+          FROM (SELECT *, CASE WHEN l_linenumber <> 3 THEN CAST(round(l_extendedprice * 100) AS BIGINT) END AS cents FROM lineitem)
+          WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))""")
+def q_rolling_hot_day(spark, sf_dir):
+    """One group with all lines, all on one day."""
+    rows = load(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.lit(1).alias("player"), F.lit(0).alias("day"),
+        F.when(F.col("l_linenumber") != 3, F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
+    ).withColumn("place", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rolled = rolling_average(rows, ["player"], "day", "place", "cents", 7, "avg_cents", ranges=32)
+    return rolled.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("avg_cents") / 100).alias("avg_last_7"))
