@@ -42,3 +42,26 @@ MISSING_TOKENS = [
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
     "nan", "null",
 ]
+
+# Functions that an ad-hoc query may call, by their names in Spark's catalog.
+ADHOC_FUNCTIONS = [
+    # aggregates
+    "any_value", "approx_count_distinct", "avg", "bool_and", "bool_or", "corr", "count", "count_if", "first", "last",
+    "max", "max_by", "median", "min", "min_by", "mode", "percentile", "percentile_approx", "stddev", "stddev_pop", "sum",
+    "variance", "var_pop",
+    # windows
+    "cume_dist", "dense_rank", "first_value", "lag", "last_value", "lead", "nth_value", "ntile", "percent_rank", "rank",
+    "row_number",
+    # numbers
+    "abs", "bround", "ceil", "exp", "floor", "greatest", "least", "ln", "log10", "mod", "pow", "round", "sign", "sqrt",
+    "try_divide",
+    # text
+    "btrim", "char_length", "concat", "concat_ws", "contains", "endswith", "initcap", "left", "length", "lower", "lpad",
+    "ltrim", "regexp_extract", "regexp_like", "replace", "right", "rpad", "rtrim", "split_part", "startswith", "substring",
+    "trim", "upper",
+    # days
+    "add_months", "current_date", "date_add", "date_diff", "date_format", "date_sub", "date_trunc", "day", "dayofweek",
+    "extract", "last_day", "make_date", "month", "months_between", "quarter", "to_date", "trunc", "year",
+    # choices
+    "coalesce", "if", "ifnull", "nullif", "nullifzero", "nvl", "nvl2", "try_to_number", "zeroifnull",
+]
