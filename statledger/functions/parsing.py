@@ -1,5 +1,7 @@
 """Heights, durations, dates and names held as text."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 from statledger.functions.values import strip
@@ -11,6 +13,7 @@ _AMOUNT = r"(\d+(?:\.\d+)?)"
 _DURATION = rf"^P(?!$)(?:{_AMOUNT}D)?(?:T(?:{_AMOUNT}H)?(?:{_AMOUNT}M)?(?:{_AMOUNT}S)?)?$"
 # As many places as the shortest text of a double near a rounding tie has.
 _EXACT = "decimal(28,18)"
+_LIKE_NUMBER = r"^\s*[+-]?\.?\d[\d.eE+-]*\s*$"
 
 
 def parse_height(text: Column) -> Column:
@@ -23,19 +26,26 @@ def parse_height(text: Column) -> Column:
     )
 
 
+def _exact(text: Column) -> Column:
+    """The number that the text spells, NULL for other texts.
+
+    Only texts that look like one are cast: a cast that fails is slow.
+    """
+    return F.when(text.rlike(_LIKE_NUMBER), text.try_cast(_EXACT))
+
+
 def _clock_minutes(text: Column) -> Column:
     """Minutes of "MM:SS" (all after the first colon are seconds) or of a number, unrounded."""
     colon = F.instr(text, ":")
-    minutes = F.substring_index(text, ":", 1).try_cast(_EXACT)
-    seconds = F.when(colon == 0, F.lit("0")).otherwise(F.substr(text, colon + 1)).try_cast(_EXACT)
-    return minutes + seconds / F.lit(60)
+    clock = _exact(F.substring_index(text, ":", 1)) + _exact(F.substr(text, colon + 1)) / F.lit(60)
+    return F.when(colon == 0, _exact(text)).otherwise(clock)
 
 
 def _duration_minutes(text: Column) -> Column:
     """Minutes of an ISO 8601 duration, unrounded; absent parts count 0, other texts are NULL."""
     # A text that is no duration keeps its P, so that its first part is no number.
     parts = F.split(F.regexp_replace(text, _DURATION, "0$1:0$2:0$3:0$4"), ":")
-    days, hours, minutes, seconds = (F.get(parts, F.lit(i)).try_cast(_EXACT) for i in range(4))
+    days, hours, minutes, seconds = (_exact(F.get(parts, F.lit(i))) for i in range(4))
     return (days * 1440 + hours * 60 + minutes).try_cast(_EXACT) + seconds / F.lit(60)
 
 
@@ -44,16 +54,38 @@ def _one_place(minutes: Column) -> Column:
     return F.round(minutes, 1).cast("decimal(12,1)")
 
 
+_WHOLE_CLOCK = r"^[+-]?\d{1,9}:[+-]?\d{1,9}$"
+# "PT34M12.00S" with whole numbers, the form that most texts have.
+_WHOLE_DURATION = r"^PT(\d{1,9})M(\d{1,9})(?:\.0{1,9})?S$"
+
+
+def _whole_seconds(clock: Column) -> Column:
+    """Minutes with one decimal of "MM:SS" in whole numbers; NULL for other texts.
+
+    Seconds are whole, so a tenth of a minute is six of them and needs no wide decimal.
+    """
+    # One pattern decides, so that no cast fails and Spark computes each of these once.
+    parts = F.split(F.when(clock.rlike(_WHOLE_CLOCK), clock), ":")
+    minutes, seconds = (F.get(parts, F.lit(i)).try_cast("bigint") for i in range(2))
+    total = minutes * 60 + seconds
+    # HALF_UP: half a tenth, which is three seconds, more.
+    more = F.abs(total) + 3
+    tenths = F.signum(total).cast("bigint") * ((more - more % 6) / 6).cast("bigint")
+    return (tenths.cast("decimal(11,0)") * F.lit(Decimal("0.1"))).cast("decimal(12,1)")
+
+
 def parse_clock_minutes(text: Column) -> Column:
     """"34:12" or "34.5" -> minutes with one decimal; negative values stay."""
-    return _one_place(_clock_minutes(strip(text)))
+    stripped = strip(text)
+    return F.coalesce(_whole_seconds(stripped), _one_place(_clock_minutes(stripped)))
 
 
 def parse_feed_minutes(text: Column) -> Column:
     """As parse_clock_minutes, also "PT34M12.00S" and "P1DT2H"; negative values become NULL."""
     stripped = strip(text)
-    minutes = F.when(F.startswith(stripped, F.lit("P")), _duration_minutes(stripped))
-    return _not_negative(_one_place(minutes.otherwise(_clock_minutes(stripped))))
+    other = F.when(F.startswith(stripped, F.lit("P")), _duration_minutes(stripped)).otherwise(_clock_minutes(stripped))
+    clock = F.regexp_replace(stripped, _WHOLE_DURATION, "$1:$2")
+    return _not_negative(F.coalesce(_whole_seconds(clock), _one_place(other)))
 
 
 def _not_negative(rounded: Column) -> Column:
