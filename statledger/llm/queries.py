@@ -155,9 +155,12 @@ weighed AS (SELECT label, s.word, pos, coalesce(n, 0) AS n,
 anchors AS (SELECT * FROM weighed
   QUALIFY row_number() OVER (PARTITION BY label ORDER BY n, pos) <= {licenses.ANCHORS}),
 totals AS (SELECT label, sum(weight) AS total FROM anchors GROUP BY label),
-standing AS (SELECT row, a.label, round(sum(weight / total), 6) AS share
-  FROM places p JOIN anchors a ON a.word = p.word JOIN totals t ON t.label = a.label
-  GROUP BY row, a.label, p.i - a.pos HAVING round(sum(weight / total), 6) >= {licenses.LEAST_SHARE}),
+looked AS (SELECT row, word FROM (SELECT DISTINCT row, p.word, a.weight FROM places p JOIN anchors a ON a.word = p.word)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY weight DESC, word) <= {licenses.LOOKED_UP}),
+standing AS (SELECT p.row, a.label, round(sum(weight / total), 6) AS share
+  FROM places p JOIN looked l ON l.row = p.row AND l.word = p.word
+  JOIN anchors a ON a.word = p.word JOIN totals t ON t.label = a.label
+  GROUP BY p.row, a.label, p.i - a.pos HAVING round(sum(weight / total), 6) >= {licenses.LEAST_SHARE}),
 own AS (SELECT s.row, s.label, max(share) AS share FROM standing s JOIN docs d ON d.row = s.row
   WHERE NOT EXISTS (SELECT 1 FROM notices n WHERE n.label = s.label
     AND NOT contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || n.phrase || ' '))
