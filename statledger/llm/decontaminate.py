@@ -4,19 +4,23 @@ The n-grams of the benchmark's texts, normalised, form a hash set that every tas
 holds; document token windows that are in the set, compared in full by their bytes,
 are hits, and documents or spans with hits are removed.
 
-A benchmark of more than WINDOWS_PER_PASS n-grams is scanned in several passes, each
-with a part of the set, and the passes' hits are merged in the row. So what is
-broadcast has a fixed bound and no n-gram is left out.
+A benchmark of more than WINDOWS_PER_PASS n-grams is scanned in several passes, one job
+after the other, each with a part of the set. A pass writes the hits of the texts that
+have any, and the passes' hits are joined with the documents at the end. So what a task
+holds has a fixed bound, whatever the benchmark's size, and no n-gram is left out.
 """
 
 import re
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from statledger.llm.tables import ALNUM_WORD, append_columns, free_name, lower_ascii
+from statledger.session import written
 
 NGRAM = 13
 WINDOWS_PER_PASS = 200_000
@@ -48,26 +52,50 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = NGR
 
     items are the ids of the items with a window in the text, without order; marks has a
     byte for each word, 1 where a window covers it, and is empty for a text without hits.
-    Null and empty texts have no words; repeated rows get the same hits.
+    Null and empty texts have no words; repeated rows get the same hits; empty tables give none.
     """
-    spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, n)
+    windows = written(benchmark_windows(benchmark, n), "windows")
     passes = max(1, -(-windows.count() // windows_per_pass))
     hits = StructField(free_name(docs, "hits"), _HITS)
-    out = docs.withColumn(hits.name, F.lit(None).cast(_HITS))
+    if passes == 1:
+        return append_columns(docs, [text], [hits], _finder_of(windows)), hits.name
+    texts = docs.select(F.sha2(text, 256).alias("key"), F.col(text).alias("text"))
+    found = None
     for k in range(passes):
-        index = defaultdict(list)
-        for window, item in windows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == k).collect():
-            index[window.encode()] += [] if item is None else [item]
-        shared = spark.sparkContext.broadcast(dict(index))
-        new = StructField(free_name(out, "found"), _HITS)
-        out = append_columns(out, [text, hits.name], [new], lambda shared=shared: _finder(shared.value))
-        out = out.withColumn(hits.name, F.col(new.name)).drop(new.name)
-    return out, hits.name
+        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == k)
+        own = append_columns(texts, ["text"], [StructField("hits", _HITS)], _finder_of(part))
+        own = written(own.where("hits.n_hit > 0").select("key", "hits.*").dropDuplicates(["key"]), "hits")
+        found = own if found is None else found.unionByName(own)
+    # As many rows a text as passes at most.
+    merged = found.groupBy("key").applyInPandas(_merged, found.schema)
+    key, of, words = (free_name(docs, name) for name in ("text_key", "text_key_of", "text_words"))
+    merged = merged.select(F.col("key").alias(of), F.struct("n_words", "n_hit", "items", "marks").alias(hits.name))
+    counted = append_columns(docs, [text], [StructField(words, LongType())], lambda: lambda t: [[len(WORD.findall(x.lower())) for x in t]])
+    joined = counted.withColumn(key, F.sha2(text, 256)).join(merged, F.col(key) == F.col(of), "left")
+    none = F.struct(F.col(words).alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+                    F.array().cast("array<string>").alias("items"), F.lit(b"").alias("marks"))
+    return joined.withColumn(hits.name, F.coalesce(hits.name, none.cast(_HITS))).drop(key, of, words), hits.name
+
+
+def _finder_of(windows: DataFrame):
+    """Maker of the finder of these windows, which are broadcast."""
+    index = defaultdict(list)
+    for window, item in windows.collect():
+        index[window.encode()] += [] if item is None else [item]
+    shared = windows.sparkSession.sparkContext.broadcast(dict(index))
+    return lambda: _finder(shared.value)
+
+
+def _merged(rows):
+    """One text's hits of several passes as one row."""
+    marks = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in rows["marks"]])
+    items = sorted({item for own in rows["items"] for item in own})
+    return pd.DataFrame({"key": rows["key"][:1], "n_words": rows["n_words"][:1], "n_hit": [int(marks.sum())],
+                         "items": [items], "marks": [marks.tobytes()]})
 
 
 def _finder(index: dict):
-    """Finder of the index's windows in texts, added to the hits of earlier passes.
+    """Finder of the index's windows in texts.
 
     A window can only stand in a run of words that all occur in the index, so runs are
     found first and only their windows are joined and looked up.
@@ -77,12 +105,11 @@ def _finder(index: dict):
         by_length[window.count(b" ") + 1][window] = ids
     known = {word for window in index for word in window.split(b" ")}
 
-    def compute(texts, before):
+    def compute(texts):
         found = []
-        for data, old in zip(texts, before, strict=True):
+        for data in texts:
             words = WORD.findall(data.lower())
-            marks = bytearray(old["marks"]) if old and old["marks"] else None
-            items = set(old["items"]) if old else set()
+            marks, items = None, set()
             in_run = bytes(map(known.__contains__, words))
             for length, windows in by_length.items():
                 run = b"\x01" * length
