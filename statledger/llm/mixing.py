@@ -11,7 +11,9 @@ a leaf streams its documents and passes on the one that stays open, then FAN_IN
 meet in a node, up to one node a source. A task holds one open document, whatever the
 number of a leaf's rows, so a source with a third of all rows is spread over all leaves.
 Within a node large documents come first, which leaves a small one open at the end.
-Random draws are hashes of the seed and the ids, so reruns and retries agree.
+Rows that agree in id, source and size are one document with a count: among equals the
+pairing leaves all but one whole, so only that one goes to the tree, and a row that is
+repeated a million times meets no task a million times. Random draws are hashes of the seed and the ids, so reruns and retries agree.
 """
 
 import numpy as np
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statledger.llm.tables import NOT_SPACE, free_name
+from statledger.llm.tables import free_name
 from statledger.session import written
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -32,7 +34,8 @@ SEED = 20240
 
 def word_count(text):
     """Runs of what is no ASCII space; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE)), F.lit(0)).cast("long")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
@@ -63,24 +66,27 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row of docs(doc_id, source, size).
+    """doc_id, source, size, n, source_size, target, whole and more of each distinct (doc_id, source, size).
 
-    copies is the number of times that the document is taken, 0 to 2. A document without
-    words is taken as often as its whole part says. Rows that repeat an id are documents of
-    their own. A null source is a source; a null id draws like any other id.
+    Of the n rows that agree in them, `more` are taken whole + 1 times and the others whole
+    times, 0 to 2 in all. A document without words is taken as often as its whole part says.
+    A null source is a source; a null id draws like any other id. An empty table has no rows.
     """
-    sized = written(docs.select("doc_id", "source", F.col("size").cast("long").alias("size")), "sizes")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    same = docs.groupBy("doc_id", "source", F.col("size").cast("long").alias("size")).agg(F.count("*").alias("n"))
+    sized = written(same, "sizes")
+    sizes = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = targets(sizes).select(F.col("source").alias("goal_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    # Few rows, one for each source: a left join lets the hot source stay where it is.
-    rows = sized.join(F.broadcast(goals) if goals.limit(_MOST_SOURCES + 1).count() <= _MOST_SOURCES else goals,
-                      F.col("source").eqNullSafe(F.col("goal_source")), "left").drop("goal_source")
+    # One row for each source; where those aren't few, the join splits a hot source's documents.
+    rows = sized.join(goals, F.col("source").eqNullSafe(F.col("goal_source")), "left").drop("goal_source")
     whole = F.floor(rate + F.lit(1e-12))
     fraction = F.greatest(rate - whole, F.lit(0.0))
+    fraction = F.when((F.col("size") > 0) & (fraction > 1e-12), fraction).otherwise(F.lit(0.0))
+    sure = F.floor(fraction * F.col("n") + F.lit(1e-9))
+    rest = fraction * F.col("n") - sure
     rows = rows.select(
-        "*", whole.cast("int").alias("whole"),
-        F.when((F.col("size") > 0) & (fraction > 1e-12), fraction).otherwise(F.lit(0.0)).alias("p"),
+        "*", whole.cast("int").alias("whole"), sure.cast("long").alias("sure"),
+        F.when(rest > 1e-9, rest).otherwise(F.lit(0.0)).alias("p"),
         F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size").alias("draw"),
     ).withColumn("node", F.pmod("draw", F.lit(LEAVES)))
     open_now, done = rows, None
@@ -93,11 +99,8 @@ def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
             break
         leaves = -(-leaves // FAN_IN)
         open_now = settled.where("p > 0 and p < 1").withColumn("node", F.floor(F.col("node") / FAN_IN))
-    return done.select("doc_id", "source", "size", "source_size", "target",
-                       (F.col("whole") + F.col("p").cast("int")).alias("copies"))
-
-
-_MOST_SOURCES = 10_000
+    return done.select("doc_id", "source", "size", "n", "source_size", "target", "whole",
+                       (F.col("sure") + F.col("p").cast("long")).alias("more"))
 
 
 def _settle(rows: DataFrame, last: bool) -> DataFrame:
@@ -170,30 +173,60 @@ def _near(p):
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return plan(sized).select("doc_id", "size", "source_size", "target",
-                              (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    planned = plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    # A document's equal rows again, in parts of some thousand that are dealt to all tasks.
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _PART))
+    part = planned.withColumn("part", F.explode(parts)).repartition("doc_id", "size", "part")
+    first = F.col("part") * _PART
+    rows = part.withColumn("row", F.explode(F.sequence(first, F.least(first + _PART, F.col("n")) - 1)))
+    copies = F.col("whole") + (F.col("row") < F.col("more")).cast("int")
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
+
+
+_PART = 4096
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """docs with each row as often as the mix takes it, and the number of the copy from 1.
 
-    Rows that agree in id, source and size share their copies: the n rows of such a group
-    take the n counts in falling order.
+    Rows that agree in id, source and size share their copies: `more` of them, whichever, are
+    taken once more than the others. Only the rows of groups that differ so are numbered.
     """
-    number, size, copies, copy = (free_name(docs, n) for n in ("mix_number", "mix_size", "mix_copies", "copy_no"))
-    sized = docs.withColumn(size, word_count(F.col(text)))
-    counts = plan(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                              word_count(F.col(text)).alias("size")))
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
-    counts = counts.withColumn("number", F.row_number().over(same)).select(
-        F.struct("doc_id", "source", "size", "number").alias("key"), F.col("copies").alias(copies)).where(F.col(copies) > 0)
-    key = free_name(docs, "key")
-    counts = counts.withColumnRenamed("key", key + "_mix")
-    rows = sized.withColumn(number, F.row_number().over(Window.partitionBy(doc_id, source, size).orderBy(F.xxhash64(text))))
+    columns = {"doc_id": doc_id, "source": source, "size": free_name(docs, "mix_size")}
+    more, copy, number, mark = (free_name(docs, n) for n in ("mix_more", "copy_no", "mix_number", "mix_mark"))
+    planned = plan(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    planned = planned.select(F.struct("doc_id", "source", "size").alias(mark), "n", "whole", "more").select(
+        mark, F.struct("n", "whole", "more").alias(more))
     match = F.lit(True)
-    for name, column in (("doc_id", doc_id), ("source", source), ("size", size), ("number", number)):
-        match = match & F.col(column).eqNullSafe(F.col(f"{key}_mix.{name}"))
-    joined = rows.join(counts, match)
-    repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    for name, column in columns.items():
+        match = match & F.col(column).eqNullSafe(F.col(f"{mark}.{name}"))
+    sized = docs.withColumn(columns["size"], word_count(F.col(text)))
+    rows = sized.join(planned, match)
+    count, extra = F.col(f"{more}.n"), F.col(f"{more}.more")
+    differ = (extra > 0) & (extra < count)
+    even = rows.where(~differ).withColumn(number, F.lit(0).cast("long"))
+    numbered = _numbered(rows.where(differ), mark, number)
+    chosen = even.unionByName(numbered)
+    copies = F.col(f"{more}.whole") + (F.col(number) < extra).cast("int")
+    repeated = chosen.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
     return repeated.select(*docs.columns, copy)
+
+
+def _numbered(rows: DataFrame, mark: str, number: str) -> DataFrame:
+    """The rows with numbers from 0 among those of one mark.
+
+    A row's number is its rank in the task that read it plus the counts of the tasks before, so equal
+    rows are not gathered to be numbered.
+    """
+    place, task = free_name(rows, "mix_place"), free_name(rows, "mix_task")
+    settled = written(rows.withColumn(place, F.monotonically_increasing_id()), "repeats")
+    narrow = settled.select(place, mark).withColumn(task, F.shiftright(place, 33))
+    rank = F.row_number().over(Window.partitionBy(mark, task).orderBy(place)) - 1
+    counts = narrow.groupBy(mark, task).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(mark).orderBy(task).rowsBetween(Window.unboundedPreceding, -1))
+    firsts = counts.select(F.col(mark).alias("of"), F.col(task).alias("of_task"), F.coalesce(before, F.lit(0)).alias("first"))
+    ranked = narrow.withColumn("rank", rank).join(
+        firsts, F.col(mark).eqNullSafe(F.col("of")) & (F.col(task) == F.col("of_task")))
+    numbers = ranked.select(F.col(place).alias("at"), (F.col("rank") + F.col("first")).alias("numbered"))
+    numbers = numbers.select(F.col("at").alias(f"{place}_of"), F.col("numbered").alias(number))
+    return settled.join(numbers, F.col(place) == F.col(f"{place}_of")).drop(place, f"{place}_of")
