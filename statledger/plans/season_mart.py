@@ -6,15 +6,15 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, functions as F
 
 from statledger.plans.marts import SUMS, merged_sums, season_sums, stats_of_sums
-from statledger.plans.warehouse import SEASON_STATS, Warehouse
-from statledger.session import written
+from statledger.plans.warehouse import SEASON_STATS, Staging, Warehouse, staged
 
 _FACTS, _SEASON = "player_game_stats", "season_label"
 _SUMS = "player_season_sums"
 _PATH = f"/{_SEASON}="
 
 
-def refresh_season_stats(warehouse: Warehouse, full: bool = False) -> list:
+@staged
+def refresh_season_stats(warehouse: Warehouse, full: bool = False, staging: Staging = None) -> list:
     """Brings the season aggregate up to date; returns the seasons that it wrote.
 
     Facts are only appended to, so the sums of a file never change. Each season of the
@@ -27,7 +27,7 @@ def refresh_season_stats(warehouse: Warehouse, full: bool = False) -> list:
     new = _new_files(warehouse, facts, full)
     seasons = sorted({season for season, _ in new})
     if seasons:
-        warehouse.replace_partitions(_SUMS, _sums_of(warehouse, facts, new, seasons, full), _SEASON, seasons)
+        warehouse.replace_partitions(_SUMS, _sums_of(warehouse, facts, new, seasons, full, staging), _SEASON, seasons)
     stale = _stale_seasons(warehouse, seasons)
     if stale:
         sums = warehouse.table(_SUMS).where(F.col(_SEASON).isin(stale) & F.col("file").isNull()).drop(_SEASON, "file")
@@ -49,7 +49,7 @@ def _new_files(warehouse: Warehouse, facts: DataFrame, full: bool) -> list:
     return [tuple(row) for row in listed.join(named, [_SEASON, "file"], "left_anti").collect()]
 
 
-def _sums_of(warehouse: Warehouse, facts: DataFrame, new: list, seasons: list, full: bool) -> DataFrame:
+def _sums_of(warehouse: Warehouse, facts: DataFrame, new: list, seasons: list, full: bool, staging: Staging) -> DataFrame:
     """The whole new content of these seasons: the merged sums and the names of their files."""
     games = warehouse.table("games")
     named = warehouse.spark.createDataFrame(new, f"{_SEASON} string, file string")
@@ -63,7 +63,7 @@ def _sums_of(warehouse: Warehouse, facts: DataFrame, new: list, seasons: list, f
         sums = merged_sums(stored.where("file is null").select(added.columns).unionByName(added))
         named = named.unionByName(stored.where("file is not null").select(_SEASON, "file"))
     content = sums.withColumn(_SEASON, F.col("season_id")).unionByName(named, allowMissingColumns=True)
-    settled = written(content.select("player_id", "season_id", "game_type", *SUMS, "file", _SEASON), _SUMS)
+    settled = staging.keep(content.select("player_id", "season_id", "game_type", *SUMS, "file", _SEASON), _SUMS)
     _create(warehouse, _SUMS, settled)
     return settled
 

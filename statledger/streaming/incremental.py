@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from statledger.functions import pad_id
 from statledger.plans import clean, load
-from statledger.plans.warehouse import Warehouse
-from statledger.session import shared_folder, written
+from statledger.plans.warehouse import Staging, Warehouse, staged
+from statledger.session import shared_folder
 from statledger.sources.feed import stream_feed, with_ordinal
 from statledger.sources.layouts import FEED_PLAYER_ROWS, FEED_TEAM_ROWS
 from statledger.streaming.waiting import GAME, WaitingRows, of_placed
@@ -57,9 +57,9 @@ def _drain(warehouse: Warehouse, feed_dir: str, layout, on_batch, max_files) ->
     query.awaitTermination()
 
 
-def _landed(batch: DataFrame, game: str, name: str) -> DataFrame:
+def _landed(batch: DataFrame, game: str, staging: Staging) -> DataFrame:
     """The batch with its games' ids, settled in files."""
-    return written(batch.withColumn(GAME, pad_id(F.col(game))), name)
+    return staging.keep(batch.withColumn(GAME, pad_id(F.col(game))), "landed")
 
 
 def _games_of(rows: DataFrame) -> DataFrame:
@@ -70,40 +70,43 @@ def known_games(warehouse: Warehouse) -> DataFrame:
     return warehouse.table("games").select(F.col("nba_game_id").alias(GAME))
 
 
-def merge_team_rows(warehouse: Warehouse, batch: DataFrame) -> None:
+@staged
+def merge_team_rows(warehouse: Warehouse, batch: DataFrame, staging: Staging) -> None:
     """Games and team lines of the batch, with the rows that waited for the same games."""
-    rows = _landed(batch, "GAME_ID", "team-rows")
+    rows = _landed(batch, "GAME_ID", staging)
     named = _games_of(rows)
     waiting = WaitingRows(warehouse, PENDING_TEAM_ROWS)
     earlier = waiting.of_games(named)
     both = rows if earlier is None else rows.unionByName(earlier)
-    games = written(clean.clean_feed_games(both), "games")
+    games = staging.keep(clean.clean_feed_games(both), "games")
     load.load_seasons_widen(warehouse, clean.clean_seasons(games))
     load.load_games(warehouse, games)
     # A pair that cannot be resolved is among the rejects and need not wait.
     paired = games.select(F.col("nba_game_id").alias(GAME))
-    placed = written(named.join(paired.unionByName(known_games(warehouse)), GAME, "left_semi"), "placed")
+    placed = staging.keep(named.join(paired.unionByName(known_games(warehouse)), GAME, "left_semi"), "placed")
     load.load_team_game_stats(warehouse, clean.clean_feed_team_stats(of_placed(both, placed, True)))
     waiting.add(of_placed(rows, placed, False))
     if earlier is not None:
-        waiting.release(written(_games_of(earlier).join(placed, GAME, "left_semi"), "released"))
+        waiting.release(staging.keep(_games_of(earlier).join(placed, GAME, "left_semi"), "released"))
 
 
-def merge_player_rows(warehouse: Warehouse, batch: DataFrame) -> None:
+@staged
+def merge_player_rows(warehouse: Warehouse, batch: DataFrame, staging: Staging) -> None:
     """Player lines of loaded games; the batch's other rows wait."""
-    rows = _landed(batch, "gameId", "player-rows")
-    placed = written(_games_of(rows).join(known_games(warehouse), GAME, "left_semi"), "placed")
+    rows = _landed(batch, "gameId", staging)
+    placed = staging.keep(_games_of(rows).join(known_games(warehouse), GAME, "left_semi"), "placed")
     load.load_player_game_stats(warehouse, clean.clean_feed_player_stats(of_placed(rows, placed, True)))
     WaitingRows(warehouse, PENDING_PLAYER_ROWS).add(of_placed(rows, placed, False))
 
 
-def release_player_rows(warehouse: Warehouse) -> None:
+@staged
+def release_player_rows(warehouse: Warehouse, staging: Staging) -> None:
     """Player lines that waited for games which are there by now."""
     waiting = WaitingRows(warehouse, PENDING_PLAYER_ROWS)
     games = waiting.games()
     if games is None:
         return
-    placed = written(games.join(known_games(warehouse), GAME, "left_semi"), "released")
+    placed = staging.keep(games.join(known_games(warehouse), GAME, "left_semi"), "released")
     if not placed.isEmpty():
         load.load_player_game_stats(warehouse, clean.clean_feed_player_stats(waiting.of_games(placed)))
         waiting.release(placed)

@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from statledger import functions as fn
+from statledger.operators.dedupe import keep_last
+from statledger.sources.exports import read_csv, typed_cells
+from statledger.sources.layouts import Layout
 
 
 def values(spark, kind, inputs, expression):
@@ -15,33 +18,34 @@ def values(spark, kind, inputs, expression):
 
 
 def test_height(spark):
-    texts = ["6-9", "7-0", None, "", "not-a-height", "6-", " 6 - 9 ", "69", "-5"]
-    assert values(spark, "string", texts, fn.parse_height) == [
-        81, 84, None, None, None, 72, 81, None, None,
-    ]
+    heights = {"5-10": 70, "6-11": 83, "0-3": 3, "4-": 48, " 5 - 2 ": 62, "+7-1": 85, "5-14": 74, "70": None, "-8": None, "tall": None,
+               "5'10": None, "5-x": None, "": None, None: None}
+    assert values(spark, "string", list(heights), fn.parse_height) == list(heights.values())
 
 
 def test_clock_minutes(spark):
-    texts = ["34:12", "0:00", "34.5", None, "", "-5:30", "1:2:3", "\t12:03\n", "12.54999999999999"]
-    assert values(spark, "string", texts, fn.parse_clock_minutes) == [
-        Decimal("34.2"), Decimal("0.0"), Decimal("34.5"), None, None, Decimal("-4.5"), None, Decimal("12.1"), Decimal("12.5"),
-    ]
+    # Three seconds are half a tenth and go away from zero; fractions of seconds are exact too.
+    clocks = {"18:06": "18.1", "18:03": "18.1", "18:02": "18.0", "18:02.999": "18.0", "-18:03": "-18.0", "-0:00": "0.0", "00:00": "0.0",
+              "9.95": "10.0", "9.9499999999999": "9.9", "7": "7.0", "+7:30": "7.5", "\t12:57\n": "13.0", "59:59": "60.0", "1e1": "10.0",
+              "4:5:6": None, ":30": None, "30:": None, "x": None, "PT1M": None, "": None, None: None}
+    wanted = [None if v is None else Decimal(v) for v in clocks.values()]
+    assert values(spark, "string", list(clocks), fn.parse_clock_minutes) == wanted
 
 
 def test_feed_minutes(spark):
-    texts = ["PT34M12.00S", "34:12", "PT5M00.00S", "PT", "PT30S", None, "", "-5:30", "PT1.2.3S", "DNP", "PT1H",
+    texts = ["PT21M48.00S", "21:48", "PT8M3S", "PT", "PT30S", None, "", "-2:15", "PT1.2.3S", "DNP", "PT1H",
              "P1DT2H3M", "PT0.5H", "P", "P1", "P0:1:2:3", "1:2:3:4", "PT-1M", "P01:02:03:04"]
     assert values(spark, "string", texts, fn.parse_feed_minutes) == [
-        Decimal("34.2"), Decimal("34.2"), Decimal("5.0"), Decimal("0.0"), Decimal("0.5"),
+        Decimal("21.8"), Decimal("21.8"), Decimal("8.1"), Decimal("0.0"), Decimal("0.5"),
         None, None, None, None, None, Decimal("60.0"),
         Decimal("1563.0"), Decimal("30.0"), None, None, None, None, None, None,
     ]
 
 
 def test_round_minutes_half_up_and_negative(spark):
-    numbers = [39.166666666666664, 0.25, 0.35, -5.0, float("nan"), None, 12.549999999999999, 39.04999999999999, 0.049999999999999996]
+    numbers = [27.283333333333331, 0.25, 0.35, -5.0, float("nan"), None, 12.549999999999999, 39.04999999999999, 0.049999999999999996]
     assert values(spark, "double", numbers, fn.round_minutes) == [
-        Decimal("39.2"), Decimal("0.3"), Decimal("0.4"), None, None, None, Decimal("12.5"), Decimal("39.0"), Decimal("0.0"),
+        Decimal("27.3"), Decimal("0.3"), Decimal("0.4"), None, None, None, Decimal("12.5"), Decimal("39.0"), Decimal("0.0"),
     ]
 
 
@@ -68,15 +72,13 @@ def test_missing(spark):
 
 
 def test_pad_id(spark):
-    texts = ["42500405", "0042500405", "123456789012", None]
-    assert values(spark, "string", texts, fn.pad_id) == [
-        "0042500405", "0042500405", "123456789012", None,
-    ]
+    padded = {"7": "0000000007", "0000000007": "0000000007", "": "0000000000", "998877665544": "998877665544", None: None}
+    assert values(spark, "string", list(padded), fn.pad_id) == list(padded.values())
 
 
 def test_dates(spark):
-    texts = ["2025-10-21", "2025-10-21 19:30:00", None]
-    day = datetime.date(2025, 10, 21)
+    texts = ["2031-03-08", "2031-03-08 19:30:00", None]
+    day = datetime.date(2031, 3, 8)
     assert values(spark, "string", texts, fn.parse_date) == [day, day, None]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         values(spark, "string", ["garbage"], fn.parse_date)
@@ -85,13 +87,13 @@ def test_dates(spark):
 
 
 def test_season_labels(spark):
-    assert values(spark, "string", ["22025", "41999", "1abc"], fn.season_label_from_code) == [
-        "2025-26", "1999-00", None,
+    assert values(spark, "string", ["22030", "41999", "1abc"], fn.season_label_from_code) == [
+        "2030-31", "1999-00", None,
     ]
-    types = values(spark, "string", ["12025", "22025", "32025", "42025", "52025", "92025"], fn.game_type_from_code)
+    types = values(spark, "string", ["12030", "22030", "32030", "42030", "52030", "92030"], fn.game_type_from_code)
     assert types == ["Pre Season", "Regular Season", "All-Star", "Playoffs", "Play-In Tournament", "Unknown (9)"]
-    days = [datetime.date(1960, 10, 19), datetime.date(2020, 7, 31), datetime.date(2020, 8, 1)]
-    assert values(spark, "date", days, fn.season_label_from_date) == ["1960-61", "2019-20", "2020-21"]
+    days = [datetime.date(1955, 12, 1), datetime.date(2020, 7, 31), datetime.date(2020, 8, 1)]
+    assert values(spark, "date", days, fn.season_label_from_date) == ["1955-56", "2019-20", "2020-21"]
 
 
 def test_event_values(spark):
@@ -114,9 +116,9 @@ def test_role_slot_chooses_before_the_zero_test(spark):
 
 
 def test_full_name(spark):
-    rows = spark.createDataFrame([("Loy", "Vaught"), (None, "Nene"), ("Nene", None)], "a string, b string")
+    rows = spark.createDataFrame([("Ida", "Moor"), (None, "Solo"), ("Solo", None), (" Bo", "Reed "), (None, None)], "a string, b string")
     names = [r[0] for r in rows.select(fn.full_name(F.col("a"), F.col("b"))).collect()]
-    assert names == ["Loy Vaught", "Nene", "Nene"]
+    assert names == ["Ida Moor", "Solo", "Solo", "Bo Reed", ""]
 
 
 def test_ratio(spark):
@@ -127,10 +129,27 @@ def test_ratio(spark):
 
 def test_json_safe(spark):
     frame = spark.sql(
-        "SELECT 1.50BD AS d, DATE'2025-10-21' AS day, TIMESTAMP'2025-10-21 19:30:00' AS t,"
-        " TIMESTAMP_NTZ'2025-10-21 19:30:00.25' AS u, 7 AS n, 'x' AS s"
+        "SELECT 1.50BD AS d, DATE'2031-03-08' AS day, TIMESTAMP'2031-03-08 19:30:00' AS t,"
+        " TIMESTAMP_NTZ'2031-03-08 19:30:00.25' AS u, 7 AS n, 'x' AS s"
     )
     assert fn.json_safe(frame).first().asDict() == {
-        "d": "1.50", "day": "2025-10-21", "t": "2025-10-21T19:30:00",
-        "u": "2025-10-21T19:30:00.250000", "n": 7, "s": "x",
+        "d": "1.50", "day": "2031-03-08", "t": "2031-03-08T19:30:00",
+        "u": "2031-03-08T19:30:00.250000", "n": 7, "s": "x",
     }
+
+
+def test_whole_numbers_keep_all_their_digits(spark):
+    cells = ["1234567890123456789", " 9223372036854775807", "9223372036854775808", "-5", "12.0", "1e3", "x", "", None]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "i int, id string")
+    found = [r.id for r in typed_cells(rows, {"id": "bigint"}).orderBy("i").collect()]
+    assert found == [1234567890123456789, 9223372036854775807, None, -5, 12, 1000, None, None, None]
+
+
+def test_cells_with_line_breaks(spark, tmp_path):
+    layout = Layout("", "", {"id": "int", "note": "string"})
+    (tmp_path / "a b%.csv").write_text('id,note\n1,"one\ntwo, ""three"""\n2,plain\n3,"x\n\ny"\n2,later\n')
+    (tmp_path / "c.csv").write_text('id,note\n4,"quoted ""well"""\n5,\n')
+    rows = keep_last(read_csv(spark, str(tmp_path), layout), ["id"])
+    assert {r.id: r.note for r in rows.collect()} == {1: 'one\ntwo, "three"', 2: "later", 3: "x\n\ny", 4: 'quoted "well"', 5: None}
+    plain = read_csv(spark, str(tmp_path / "c.csv"), layout)
+    assert plain.count() == 2 and "multiLine" not in plain._jdf.queryExecution().toString()
