@@ -1,86 +1,48 @@
 """The stored season aggregate, kept current from the lines that are new."""
 
-import re
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, functions as F
 
-from statledger.plans.marts import SUMS, merged_sums, season_sums, stats_of_sums
+from statledger.plans.marts import merged_sums, season_sums, stats_of_sums
+from statledger.plans.season_state import SEASON, SeasonState, create_by_season
 from statledger.plans.warehouse import SEASON_STATS, Staging, Warehouse, staged
 
-_FACTS, _SEASON = "player_game_stats", "season_label"
-_SUMS = "player_season_sums"
-_PATH = f"/{_SEASON}="
+
+def player_sums(warehouse: Warehouse) -> SeasonState:
+    """Sums and counts per player, season and game type."""
+    def by_season(sums: DataFrame) -> DataFrame:
+        return sums.withColumn(SEASON, F.col("season_id"))
+
+    return SeasonState(
+        warehouse, "player_game_stats", "player_season_sums",
+        lambda lines: by_season(season_sums(lines, warehouse.table("games"))), lambda sums: by_season(merged_sums(sums)),
+    )
 
 
 @staged
 def refresh_season_stats(warehouse: Warehouse, full: bool = False, staging: Staging = None) -> list:
     """Brings the season aggregate up to date; returns the seasons that it wrote.
 
-    Facts are only appended to, so the sums of a file never change. Each season of the
-    sums names the fact files that are in it, in the same partition as the sums: both
-    are replaced by one catalog change, and a refresh that stops halfway counts no file
-    twice. A refresh reads the new files, merges their sums into those of their seasons
-    and writes these seasons again; all others' files stay. `full` starts from nothing.
+    Reads the lines that are new, merges their sums into those of their seasons and writes
+    these seasons again. `full` starts from nothing.
     """
-    facts = warehouse.table(_FACTS)
-    new = _new_files(warehouse, facts, full)
-    seasons = sorted({season for season, _ in new})
-    if seasons:
-        warehouse.replace_partitions(_SUMS, _sums_of(warehouse, facts, new, seasons, full, staging), _SEASON, seasons)
-    stale = _stale_seasons(warehouse, seasons)
+    sums = player_sums(warehouse)
+    stale = _stale_seasons(warehouse, sums, sums.refresh(staging, full))
     if stale:
-        sums = warehouse.table(_SUMS).where(F.col(_SEASON).isin(stale) & F.col("file").isNull()).drop(_SEASON, "file")
-        rows = stats_of_sums(sums, warehouse.table("players"), warehouse.table("seasons"))
-        _create(warehouse, SEASON_STATS, rows)
-        warehouse.replace_partitions(SEASON_STATS, rows, _SEASON, stale)
+        chosen = sums.rows().where(F.col(SEASON).isin(stale)).drop(SEASON)
+        rows = stats_of_sums(chosen, warehouse.table("players"), warehouse.table("seasons"))
+        create_by_season(warehouse, SEASON_STATS, rows)
+        warehouse.replace_partitions(SEASON_STATS, rows, SEASON, stale)
     return stale
 
 
-def _new_files(warehouse: Warehouse, facts: DataFrame, full: bool) -> list:
-    """(season, file) of the fact files that no season of the sums names; the listing that every scan makes."""
-    # As _metadata.file_path spells a local file.
-    listing = [re.sub("^file:/+", "file:/", file) for file in facts.inputFiles()]
-    files = [(unquote(file.split(_PATH)[1].split("/")[0]), file) for file in listing if _PATH in file]
-    if full or not files or not warehouse.exists(_SUMS):
-        return files
-    listed = warehouse.spark.createDataFrame(files, f"{_SEASON} string, file string")
-    named = warehouse.table(_SUMS).where("file is not null").select(_SEASON, "file")
-    return [tuple(row) for row in listed.join(named, [_SEASON, "file"], "left_anti").collect()]
-
-
-def _sums_of(warehouse: Warehouse, facts: DataFrame, new: list, seasons: list, full: bool, staging: Staging) -> DataFrame:
-    """The whole new content of these seasons: the merged sums and the names of their files."""
-    games = warehouse.table("games")
-    named = warehouse.spark.createDataFrame(new, f"{_SEASON} string, file string")
-    chosen = facts.where(F.col(_SEASON).isin(seasons))
-    if full or not warehouse.exists(_SUMS):
-        sums = season_sums(chosen, games)
-    else:
-        stored = warehouse.table(_SUMS).where(F.col(_SEASON).isin(seasons))
-        # Spark tests the name of a file before it opens it.
-        added = season_sums(chosen.where(F.col("_metadata.file_path").isin([file for _, file in new])), games)
-        sums = merged_sums(stored.where("file is null").select(added.columns).unionByName(added))
-        named = named.unionByName(stored.where("file is not null").select(_SEASON, "file"))
-    content = sums.withColumn(_SEASON, F.col("season_id")).unionByName(named, allowMissingColumns=True)
-    settled = staging.keep(content.select("player_id", "season_id", "game_type", *SUMS, "file", _SEASON), _SUMS)
-    _create(warehouse, _SUMS, settled)
-    return settled
-
-
-def _create(warehouse: Warehouse, table: str, rows: DataFrame) -> None:
-    if not warehouse.exists(table):
-        rows.limit(0).write.partitionBy(_SEASON).format("parquet").saveAsTable(warehouse.name(table))
-
-
-def _stale_seasons(warehouse: Warehouse, refreshed: list) -> list:
+def _stale_seasons(warehouse: Warehouse, sums: SeasonState, refreshed: list) -> list:
     """The refreshed seasons, and those that an earlier refresh has left before it wrote them."""
-    if not warehouse.exists(_SUMS):
+    rows = sums.rows()
+    if rows is None:
         return []
+    summed = rows.groupBy(SEASON).agg(F.sum("games_played").alias("summed"))
     if not warehouse.exists(SEASON_STATS):
-        rows = warehouse.table(_SUMS).select(_SEASON).distinct().collect()
-        return sorted(row[_SEASON] for row in rows)
-    played = [warehouse.table(table).groupBy(_SEASON).agg(F.sum("games_played").alias(name)) for table, name in (
-        (_SUMS, "summed"), (SEASON_STATS, "shown"))]
-    differ = played[0].join(played[1], _SEASON, "left").where("not summed <=> shown").select(_SEASON).collect()
-    return sorted({*refreshed, *(row[_SEASON] for row in differ)})
+        return sorted(row[SEASON] for row in summed.collect())
+    shown = warehouse.table(SEASON_STATS).groupBy(SEASON).agg(F.sum("games_played").alias("shown"))
+    differ = summed.join(shown, SEASON, "left").where("not summed <=> shown").select(SEASON).collect()
+    return sorted({*refreshed, *(row[SEASON] for row in differ)})
