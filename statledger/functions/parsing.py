@@ -102,9 +102,20 @@ def round_minutes(number: Column) -> Column:
     return _not_negative(_one_place(number.try_cast(_EXACT)))
 
 
+# Other spellings of a day than ISO 8601, each also with a time behind it; months come before days.
+_OTHER_DATES = ["M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy"]
+
+
 def parse_date(value: Column, strict: bool = True) -> Column:
-    """Date of a date-like value. Garbage fails the job, or is NULL if not strict."""
-    return value.cast("date") if strict else value.try_cast("date")
+    """Date of a text, ISO 8601 or one of the other usual spellings. Blank is NULL;
+    garbage fails the job, or is NULL if not strict."""
+    text = strip(value.cast("string"))
+    # Other spellings are tried only for texts that are none before.
+    day = F.coalesce(text.try_cast("date"), *[F.try_to_timestamp(text, F.lit(form)).cast("date") for form in _OTHER_DATES])
+    if not strict:
+        return day
+    garbage = F.raise_error(F.concat(F.lit("no date: "), text)).cast("date")
+    return F.coalesce(day, F.when(text != "", garbage))
 
 
 def full_name(first: Column, last: Column) -> Column:

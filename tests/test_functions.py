@@ -80,7 +80,10 @@ def test_dates(spark):
     texts = ["2031-03-08", "2031-03-08 19:30:00", None]
     day = datetime.date(2031, 3, 8)
     assert values(spark, "string", texts, fn.parse_date) == [day, day, None]
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    others = ["3/8/2031", "03/08/2031 19:30", "2031/3/8", "20310308", "Mar 8, 2031", "8 March 2031", " 2031-03-08T01:02:03Z "]
+    assert values(spark, "string", others, fn.parse_date) == [day] * len(others)
+    assert values(spark, "string", ["13/1/2031", "31/31/31", ""], lambda c: fn.parse_date(c, strict=False)) == [None] * 3
+    with pytest.raises(Exception, match="no date: garbage"):
         values(spark, "string", ["garbage"], fn.parse_date)
     lenient = values(spark, "string", ["garbage"], lambda c: fn.parse_date(c, strict=False))
     assert lenient == [None]
