@@ -37,7 +37,7 @@ _CUT = re.compile(r"(?<=[^ ▁]) (?=\S)")
 _LANE = 64
 _LOT_BYTES = 1 << 19
 # A task's words are numbered anew beyond so many words or ids.
-_MOST_WORDS, _MOST_IDS = 1 << 19, 1 << 23
+_MOST_WORDS, _MOST_IDS = 1 << 18, 1 << 23
 
 
 def seek(longer: np.ndarray, values: np.ndarray, low: np.ndarray) -> np.ndarray:

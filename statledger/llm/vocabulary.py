@@ -67,12 +67,12 @@ class _Table:
     encode maps a list of words to a list of such bytes.
     """
 
-    def __init__(self, encode):
-        self.encode, self.known, self.size = encode, {}, 0
+    def __init__(self, encode, most: int = MOST_WORDS):
+        self.encode, self.most, self.known, self.size = encode, most, {}, 0
 
     def learn(self, words) -> None:
         """Enters the words; earlier ones may go to make room."""
-        if len(self.known) > MOST_WORDS or self.size > MOST_BYTES:
+        if len(self.known) > self.most or self.size > MOST_BYTES:
             self.known, self.size = {}, 0
         new = list(set(words).difference(self.known))
         # The tables are many objects without cycles, which the collector would visit again and again.
@@ -115,7 +115,7 @@ class JoinedEncoder:
         self.mark_id = made.encode(mark, add_special_tokens=False).ids
         if len(self.mark_id) != 1:
             raise ValueError("the mark must be one token")
-        self.parts = _Table(self._joined)
+        self.parts = _Table(self._joined, MOST_WORDS // 2)
 
     def _row(self, word):
         """The word's only part, or a list of its parts; None for a word to encode by itself."""
