@@ -93,7 +93,8 @@ def host_verdicts(counts: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
-    host_docs, host_failed of every document; repeated rows are documents of their own."""
+    host_docs, host_failed of every document; repeated rows are documents of their own. A null text has
+    no words and fails; a null source is a host; an empty table has no rows."""
     counts = written(with_counts(docs.select("doc_id", "source", "text")), "rules")
     verdicts = host_verdicts(counts).select(F.col("source").alias("host"), "host_docs", "host_failed", "host_kept")
     judged = counts.join(verdicts, F.col("source").eqNullSafe(F.col("host")), "left")

@@ -195,8 +195,9 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     columns = {"doc_id": doc_id, "source": source, "size": free_name(docs, "mix_size")}
     more, copy, number, mark = (free_name(docs, n) for n in ("mix_more", "copy_no", "mix_number", "mix_mark"))
     planned = plan(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
-    planned = planned.select(F.struct("doc_id", "source", "size").alias(mark), "n", "whole", "more").select(
-        mark, F.struct("n", "whole", "more").alias(more))
+    # Rows are numbered, which takes another pass over the texts, only if any group's copies differ.
+    any_differ = not planned.where("more > 0 and more < n").isEmpty()
+    planned = planned.select(F.struct("doc_id", "source", "size").alias(mark), F.struct("n", "whole", "more").alias(more))
     match = F.lit(True)
     for name, column in columns.items():
         match = match & F.col(column).eqNullSafe(F.col(f"{mark}.{name}"))
@@ -204,9 +205,9 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     rows = sized.join(planned, match)
     count, extra = F.col(f"{more}.n"), F.col(f"{more}.more")
     differ = (extra > 0) & (extra < count)
-    even = rows.where(~differ).withColumn(number, F.lit(0).cast("long"))
-    numbered = _numbered(rows.where(differ), mark, number)
-    chosen = even.unionByName(numbered)
+    chosen = (rows.where(~differ) if any_differ else rows).withColumn(number, F.lit(0).cast("long"))
+    if any_differ:
+        chosen = chosen.unionByName(_numbered(rows.where(differ), mark, number))
     copies = F.col(f"{more}.whole") + (F.col(number) < extra).cast("int")
     repeated = chosen.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
     return repeated.select(*docs.columns, copy)

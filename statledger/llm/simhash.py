@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every document.
 
     Null and empty texts have fingerprint zero and are linked like any other; repeated
-    rows are in one class.
+    rows are in one class; of equal smallest ids the id is the class's all the same. An
+    empty table has no rows.
     """
     hashed, fp = fingerprints(docs.select("doc_id", "text"))
     hashed = written(hashed.select("doc_id", F.col(fp).alias("fp")), "simhash")
