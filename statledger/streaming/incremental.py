@@ -17,6 +17,7 @@ from statledger.plans.warehouse import Staging, Warehouse, staged
 from statledger.session import shared_folder
 from statledger.sources.feed import stream_feed, with_ordinal
 from statledger.sources.layouts import FEED_PLAYER_ROWS, FEED_TEAM_ROWS
+from statledger.sources.ledger import FileLedger
 from statledger.streaming.waiting import GAME, WaitingRows, of_placed
 
 PENDING_TEAM_ROWS = "pending_team_rows"
@@ -44,6 +45,9 @@ def sync_stream(warehouse: Warehouse, feed_dir: str, max_files: int = None) -> N
 
 
 def _drain(warehouse: Warehouse, feed_dir: str, layout, on_batch, max_files) -> None:
+    # A stream can't start on a folder that isn't there yet.
+    if FileLedger(warehouse, feed_dir).is_empty(layout):
+        return
     progress = os.path.join(
         shared_folder(warehouse.spark), "statledger", "streams", warehouse.database, layout.folder
     )
@@ -77,6 +81,9 @@ def merge_team_rows(warehouse: Warehouse, batch: DataFrame, staging: Staging) ->
     named = _games_of(rows)
     waiting = WaitingRows(warehouse, PENDING_TEAM_ROWS)
     earlier = waiting.of_games(named)
+    if earlier is not None:
+        # Read once: the buckets hold other games' rows too, and marks of released ones.
+        earlier = staging.keep(earlier, "earlier")
     both = rows if earlier is None else rows.unionByName(earlier)
     games = staging.keep(clean.clean_feed_games(both), "games")
     load.load_seasons_widen(warehouse, clean.clean_seasons(games))
