@@ -45,8 +45,12 @@ def _duration_minutes(text: Column) -> Column:
     """Minutes of an ISO 8601 duration, unrounded; absent parts count 0, other texts are NULL."""
     # A text that is no duration keeps its P, so that its first part is no number.
     parts = F.split(F.regexp_replace(text, _DURATION, "0$1:0$2:0$3:0$4"), ":")
-    days, hours, minutes, seconds = (_exact(F.get(parts, F.lit(i))) for i in range(4))
-    return (days * 1440 + hours * 60 + minutes).try_cast(_EXACT) + seconds / F.lit(60)
+
+    def added(parts: Column) -> Column:
+        days, hours, minutes, seconds = (_exact(F.get(parts, F.lit(i))) for i in range(4))
+        return (days * 1440 + hours * 60 + minutes).try_cast(_EXACT) + seconds / F.lit(60)
+
+    return _apart(parts, added)
 
 
 def _one_place(minutes: Column) -> Column:
@@ -83,9 +87,22 @@ def parse_clock_minutes(text: Column) -> Column:
 def parse_feed_minutes(text: Column) -> Column:
     """As parse_clock_minutes, also "PT34M12.00S" and "P1DT2H"; negative values become NULL."""
     stripped = strip(text)
-    other = F.when(F.startswith(stripped, F.lit("P")), _duration_minutes(stripped)).otherwise(_clock_minutes(stripped))
+
+    def other(text: Column) -> Column:
+        minutes = F.when(F.startswith(text, F.lit("P")), _duration_minutes(text)).otherwise(_clock_minutes(text))
+        return _one_place(minutes)
+
     clock = F.regexp_replace(stripped, _WHOLE_DURATION, "$1:$2")
-    return _not_negative(F.coalesce(_whole_seconds(clock), _one_place(other)))
+    return _not_negative(F.coalesce(_whole_seconds(clock), _apart(stripped, other)))
+
+
+def _apart(value: Column, function) -> Column:
+    """function(value), left out of the generated code of the rows' loop.
+
+    The JVM never compiles a method of more than 8000 bytes, and a loop that holds a long
+    expression for the rare values is one, so all rows would be interpreted.
+    """
+    return F.get(F.transform(F.array(value), function), F.lit(0))
 
 
 def _not_negative(rounded: Column) -> Column:

@@ -1,6 +1,7 @@
 """Value parsers on small inputs."""
 
 import datetime
+import re
 from decimal import Decimal
 
 import pytest
@@ -156,3 +157,12 @@ def test_cells_with_line_breaks(spark, tmp_path):
     assert {r.id: r.note for r in rows.collect()} == {1: 'one\ntwo, "three"', 2: "later", 3: "x\n\ny", 4: 'quoted "well"', 5: None}
     plain = read_csv(spark, str(tmp_path / "c.csv"), layout)
     assert plain.count() == 2 and "multiLine" not in plain._jdf.queryExecution().toString()
+
+
+def test_feed_minutes_are_compiled(spark):
+    # The JVM interprets methods of more than 8000 bytes, and other steps share the loop.
+    rows = spark.range(1).select(F.col("id").cast("string").alias("minutes"))
+    plan = rows.select(fn.parse_feed_minutes(F.col("minutes")))._jdf.queryExecution().executedPlan()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    assert sizes and max(sizes) < 4000
