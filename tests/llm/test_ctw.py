@@ -109,3 +109,38 @@ def test_no_byte_is_impossible_after_millions_of_others():
     levels = [tuple(np.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (np.int64, np.int64, float), strict=True))
               for rows in runs.values()]
     assert np.isfinite(ctw.Model(levels).table).all()
+
+
+def test_contexts_beyond_the_most_frequent_score_by_the_whole_tree(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "MOST_CONTEXTS", 3)
+    monkeypatch.setattr(ctw, "_RUNS_AT_ONCE", 7)
+    texts = [*TEXTS, "zebras at the cat's mat", "hat zoo"] * 3
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = ctw.score(docs).collect()
+    training = [texts[r["doc_id"]] for r in rows if not r["held_out"]]
+    counts = tree(training)
+    known = {c for c, _ in counts}
+    symbols = {b for t in training for b in bytes(ctw.text_bytes(t.encode()))}
+    checked = 0
+    for r in rows:
+        data = bytes(ctw.text_bytes(texts[r["doc_id"]].encode()))
+        if not set(data) <= symbols:
+            continue
+        total = 0.0
+        for at in range(ctw.DEPTH, len(data)):
+            for bit in range(8):
+                prefix, value = (1 << bit) | (data[at] >> (8 - bit)), (data[at] >> (7 - bit)) & 1
+                total += math.log10(chance(counts, known, data[at - ctw.DEPTH:at], prefix, value))
+        assert r["score"] == pytest.approx(total, rel=1e-5, abs=1e-4)
+        checked += r["held_out"]
+    assert 0 < checked < len(rows)
+
+
+def test_scores_do_not_depend_on_what_travels_with_the_model(spark, monkeypatch):
+    texts = [*TEXTS, "new words żółw \x07", "zzzz", None] * 4
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in ctw.score(docs).collect()}
+    monkeypatch.setattr(ctw, "MOST_CONTEXTS", 2)
+    monkeypatch.setattr(ctw, "_AT_ONCE", 3)
+    again = {r["doc_id"]: r["score"] for r in ctw.score(docs).collect()}
+    assert again == pytest.approx(found)
