@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from statledger import functions as fn
 from statledger.operators.dedupe import keep_last
 from statledger.sources.exports import read_csv, typed_cells
-from statledger.sources.layouts import Layout
+from statledger.sources.layouts import GAMES, Layout
 
 
 def values(spark, kind, inputs, expression):
@@ -149,6 +149,30 @@ def test_whole_numbers_keep_all_their_digits(spark):
     assert found == [1234567890123456789, 9223372036854775807, None, -5, 12, 1000, None, None, None]
 
 
+def test_plain_rows_of_a_file_are_typed_as_others(spark, tmp_path):
+    layout = Layout("", "", {"a": "bigint", "b": "double", "note": "string"})
+    cells = ["1234567890123456789", "9223372036854775808", "-5", "+5", "12.0", "5.", ".5", "2.5", "-", ".", "1-2", "+", "", "1e3", "1d", "0x1p3", " 7 ", "x"]
+    numbers = spark.createDataFrame([(k, c or None) for k, c in enumerate(cells)], "i int, c string")
+    wanted = typed_cells(numbers.select("i", F.col("c").alias("a"), F.col("c").alias("b")), {"a": "bigint", "b": "double"})
+    # The second file's rows are never plain, since one of their cells has a letter.
+    (tmp_path / "a.csv").write_text("a,b,note\n" + "".join(f"{c},{c},n{k}\n" for k, c in enumerate(cells)))
+    (tmp_path / "b.csv").write_text("a,b,note\n" + "".join(f"{c},x,{k}\n{'x'},{c},{k}\n" for k, c in enumerate(cells)))
+    rows = read_csv(spark, str(tmp_path), layout).collect()
+    told = {r.i: (r.a, r.b) for r in wanted.collect()}
+    assert {int(r.note[1:]): (r.a, r.b) for r in rows if r.note.startswith("n")} == told
+    others = [(int(r.note), r.a, r.b) for r in rows if not r.note.startswith("n")]
+    assert sorted(others, key=repr) == sorted([(k, a, None) for k, (a, _) in told.items()] + [(k, None, b) for k, (_, b) in told.items()], key=repr)
+
+
+def test_number_cells_are_matched_once_a_row(spark, tmp_path):
+    (tmp_path / "g.csv").write_text(",".join(GAMES.names) + "\n")
+    plan = read_csv(spark, str(tmp_path), GAMES)._jdf.queryExecution().optimizedPlan().toString()
+    # A filter on two of the cells asks the row's own column, not each cell again.
+    assert plan.count("concat_ws") == 1
+    filtered = read_csv(spark, str(tmp_path), GAMES).where("team_id_home <> team_id_away")
+    assert filtered._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
+
+
 def test_cells_with_line_breaks(spark, tmp_path):
     layout = Layout("", "", {"id": "int", "note": "string"})
     (tmp_path / "a b%.csv").write_text('id,note\n1,"one\ntwo, ""three"""\n2,plain\n3,"x\n\ny"\n2,later\n')
