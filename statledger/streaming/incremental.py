@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from statledger.functions import pad_id
 from statledger.plans import clean, load
 from statledger.plans.warehouse import Staging, Warehouse, staged
-from statledger.session import shared_folder
+from statledger.session import shared_folder, shuffles_freed
 from statledger.sources.feed import stream_feed, with_ordinal
 from statledger.sources.layouts import FEED_PLAYER_ROWS, FEED_TEAM_ROWS
 from statledger.sources.ledger import FileLedger
@@ -38,10 +38,11 @@ def sync_stream(warehouse: Warehouse, feed_dir: str, max_files: int = None) -> N
 
         return on_batch
 
-    _drain(warehouse, feed_dir, FEED_TEAM_ROWS, merge(merge_team_rows), max_files)
-    # Games of this run, or of another load, may have arrived after player rows of an earlier one.
-    release_player_rows(warehouse)
-    _drain(warehouse, feed_dir, FEED_PLAYER_ROWS, merge(merge_player_rows), max_files)
+    with shuffles_freed(warehouse.spark):
+        _drain(warehouse, feed_dir, FEED_TEAM_ROWS, merge(merge_team_rows), max_files)
+        # Games of this run, or of another load, may have arrived after player rows of an earlier one.
+        release_player_rows(warehouse)
+        _drain(warehouse, feed_dir, FEED_PLAYER_ROWS, merge(merge_player_rows), max_files)
 
 
 def _drain(warehouse: Warehouse, feed_dir: str, layout, on_batch, max_files) -> None:
