@@ -8,17 +8,18 @@ writes the rows that begin to wait; what it costs depends on its own rows alone.
 """
 
 import os
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
 from statledger.functions import pad_id
 from statledger.plans import clean, load
 from statledger.plans.warehouse import Staging, Warehouse, staged
-from statledger.session import shared_folder, shuffles_freed
+from statledger.session import shared_folder, shuffles_freed, side_by_side
 from statledger.sources.feed import stream_feed, with_ordinal
 from statledger.sources.layouts import FEED_PLAYER_ROWS, FEED_TEAM_ROWS
 from statledger.sources.ledger import FileLedger
-from statledger.streaming.waiting import GAME, WaitingRows, of_placed
+from statledger.streaming.waiting import GAME, READY, WaitingRows, marked, of_placed
 
 PENDING_TEAM_ROWS = "pending_team_rows"
 PENDING_PLAYER_ROWS = "pending_player_rows"
@@ -62,11 +63,6 @@ def _drain(warehouse: Warehouse, feed_dir: str, layout, on_batch, max_files) ->
     query.awaitTermination()
 
 
-def _landed(batch: DataFrame, game: str, staging: Staging) -> DataFrame:
-    """The batch with its games' ids, settled in files."""
-    return staging.keep(batch.withColumn(GAME, pad_id(F.col(game))), "landed")
-
-
 def _games_of(rows: DataFrame) -> DataFrame:
     return rows.select(GAME).where(F.col(GAME).isNotNull()).distinct()
 
@@ -78,7 +74,7 @@ def known_games(warehouse: Warehouse) -> DataFrame:
 @staged
 def merge_team_rows(warehouse: Warehouse, batch: DataFrame, staging: Staging) -> None:
     """Games and team lines of the batch, with the rows that waited for the same games."""
-    rows = _landed(batch, "GAME_ID", staging)
+    rows = staging.keep(batch.withColumn(GAME, pad_id(F.col("GAME_ID"))), "landed")
     named = _games_of(rows)
     waiting = WaitingRows(warehouse, PENDING_TEAM_ROWS)
     earlier = waiting.of_games(named)
@@ -86,14 +82,25 @@ def merge_team_rows(warehouse: Warehouse, batch: DataFrame, staging: Staging) ->
         # Read once: the buckets hold other games' rows too, and marks of released ones.
         earlier = staging.keep(earlier, "earlier")
     both = rows if earlier is None else rows.unionByName(earlier)
-    games = staging.keep(clean.clean_feed_games(both), "games")
-    load.load_seasons_widen(warehouse, clean.clean_seasons(games))
-    load.load_games(warehouse, games)
-    # A pair that cannot be resolved is among the rejects and need not wait.
-    paired = games.select(F.col("nba_game_id").alias(GAME))
-    placed = staging.keep(named.join(paired.unionByName(known_games(warehouse)), GAME, "left_semi"), "placed")
-    load.load_team_game_stats(warehouse, clean.clean_feed_team_stats(of_placed(both, placed, True)))
-    waiting.add(of_placed(rows, placed, False))
+    games = staging.keep(load.numbered_games(clean.clean_feed_games(both)), "games")
+
+    def load_games() -> None:
+        load.load_seasons_widen(warehouse, clean.clean_seasons(games.withColumnRenamed("season_id", "season_label")))
+        load.load_games(warehouse, games)
+
+    def stage_lines() -> tuple:
+        # A pair that cannot be resolved is among the rejects and need not wait.
+        paired = games.select(F.col("nba_game_id").alias(GAME))
+        placed = staging.keep(named.join(paired.unionByName(known_games(warehouse)), GAME, "left_semi"), "placed")
+        lines = clean.clean_feed_team_stats(of_placed(both, placed, True))
+        return placed, staging.keep(load.numbered_team_lines(lines), "lines")
+
+    _, (placed, lines) = side_by_side(load_games, stage_lines)
+    side_by_side(
+        partial(load.load_team_game_stats, warehouse, lines),
+        lambda: waiting.add(of_placed(rows, placed, False)),
+    )
+    # Rows that waited are let go only when their lines are in the table.
     if earlier is not None:
         waiting.release(staging.keep(_games_of(earlier).join(placed, GAME, "left_semi"), "released"))
 
@@ -101,10 +108,14 @@ def merge_team_rows(warehouse: Warehouse, batch: DataFrame, staging: Staging) ->
 @staged
 def merge_player_rows(warehouse: Warehouse, batch: DataFrame, staging: Staging) -> None:
     """Player lines of loaded games; the batch's other rows wait."""
-    rows = _landed(batch, "gameId", staging)
-    placed = staging.keep(_games_of(rows).join(known_games(warehouse), GAME, "left_semi"), "placed")
-    load.load_player_game_stats(warehouse, clean.clean_feed_player_stats(of_placed(rows, placed, True)))
-    WaitingRows(warehouse, PENDING_PLAYER_ROWS).add(of_placed(rows, placed, False))
+    landed = batch.withColumn(GAME, pad_id(F.col("gameId")))
+    # Told apart on their way into the files, so that neither kind is read or dealt again for the other.
+    rows = staging.keep(marked(landed, known_games(warehouse)), "landed", [READY])
+    ready, others = (rows.where(kind).drop(READY) for kind in (F.col(READY), ~F.col(READY)))
+    side_by_side(
+        lambda: load.load_player_game_stats(warehouse, clean.clean_feed_player_stats(ready)),
+        lambda: WaitingRows(warehouse, PENDING_PLAYER_ROWS).add(others),
+    )
 
 
 @staged
